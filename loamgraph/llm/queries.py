@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamgraph.llm import broken
-from loamgraph.sources.tables import table
+from loamgraph.llm import broken, handwritten
+from loamgraph.sources.tables import Scratch, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -18,5 +18,15 @@ def p1_rates(spark: SparkSession, d: str) -> DataFrame:
     return broken.rates(broken.verdicts(table(spark, d, "source_files")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates)}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """(file_id) of the source files that nobody wrote by hand."""
+    return p6_kinds(spark, d).select("file_id")
+
+
+def p6_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """(file_id, kind) of the source files that nobody wrote by hand."""
+    return handwritten.found(table(spark, d, "source_files"), Scratch(spark, "handwritten"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p6_found, p6_kinds)}
 ORACLE: dict[str, str] = {}
