@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loamgraph.llm import broken, handwritten
+from loamgraph.llm import broken, handwritten, leakage
 from loamgraph.sources.tables import Scratch, table
 
 
@@ -28,5 +29,15 @@ def p6_kinds(spark: SparkSession, d: str) -> DataFrame:
     return handwritten.found(table(spark, d, "source_files"), Scratch(spark, "handwritten"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p6_found, p6_kinds)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, item_id) of documents that contain a passage of a held-out item."""
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """(item_id, documents) of the held-out items that leaked."""
+    return p8_found(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p6_found, p6_kinds, p8_found, p8_items)}
 ORACLE: dict[str, str] = {}
