@@ -123,7 +123,7 @@ def _rows(ids, lists: list[list[str]], fixed: frozenset[str], wanted: np.ndarray
             row = at // WINDOW
             out_id += [i] * at.size
             out_key.append(flat[at].astype(np.int64))
-            out_val += list(values[row].astype(np.int64))
+            out_val += values[row].astype(np.int64).tolist()
             out_pos.append(pos[row])
     empty = np.empty(0, np.int64)
     return pd.DataFrame({name: out_id, "key": np.concatenate(out_key) if out_key else empty, f"{name}_values": out_val, f"{name}_pos": np.concatenate(out_pos) if out_pos else empty.astype(np.int32)})
@@ -170,7 +170,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield _rows(b.doc_id, [words_of(t) for t in b.text], known.value, wanted.value, "doc")
+            yield _rows(b.doc_id, [words_of(t) for t in b.text], known.value, wanted.value, "doc").rename(columns={"doc": "doc_id"})
 
     docs = documents.filter("doc_id is not null and text is not null").select("doc_id", "text")
     hits = docs.mapInPandas(scan, "doc_id long, key long, doc_values array<long>, doc_pos int")
