@@ -10,13 +10,16 @@ import xxhash
 #: Words of context kept of an ending.
 ORDER = 3
 
-_TOKEN = re.compile(r"(?P<p>[\w.-]*/[\w./-]*\w)|(?P<w>[A-Za-zÀ-ɏ_$][\wÀ-ɏ$]*(?:-[A-Za-zÀ-ɏ]\w*)*)|(?P<n>\d[\d.,:]*\d|\d)|(?P<l>\n[ \t]*)|(?P<c>[㐀-鿿぀-ヿ가-힯])|(?P<s>[^\s\w])|(?P<o>\w)")
+_TOKEN = re.compile(r"(?P<h>(?<!\w)(?=[0-9a-f]*\d)[0-9a-f]{6,40}(?!\w))|(?P<p>[\w.-]*/[\w./-]*\w)|(?P<w>[A-Za-zÀ-ɏ_$][\wÀ-ɏ$]*(?:-[A-Za-zÀ-ɏ]\w*)*)|(?P<n>\d[\d.,:]*\d|\d)|(?P<l>\n[ \t]*)|(?P<c>[㐀-鿿぀-ヿ가-힯])|(?P<s>[^\s\w])|(?P<o>\w)")
 _CAMEL = re.compile(r"[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]*)+$")
 _LOWER_CAMEL = re.compile(r"[a-z]+[0-9]*(?:[A-Z][a-z0-9]*)+$")
 _NEW_LINE_STARTS = re.compile(r"[ \t]*(?:$|\n|[-*+>#|`(\[{]|\d|[A-ZÀ-Þ㐀-鿿])")
 # Sentence ends, closers that may follow them, marks of a cut.
 STOPS = frozenset(".!?。！？…")
 CLOSERS = "'\"”’»)）]】*_`"
+_HALF = re.compile(r"\w-$")
+_CLOCK = re.compile(r"^\d\d:\d\d ", re.M)
+_CLOCK_END = re.compile(r"\n\d{1,2}(?::\d{0,2})?$")
 _MARK = re.compile(r"(?:\s*(?:…|\.{3,}|[\[(<{](?:…|\.{3}|\s|truncated|cut|cut off|clipped|more|read more|continued|snip|gekürzt|abgeschnitten|截断|未完|省略)+[\])>}]))+\s*$", re.I)
 
 
@@ -27,10 +30,12 @@ def tokens(text: str) -> list[tuple[str, str]]:
         kind, raw = m.lastgroup, m.group()
         if kind == "w":
             form = "\u0001C" if _CAMEL.match(raw) else "\u0001c" if _LOWER_CAMEL.match(raw) else raw.lower()
-            if any(ch.isdigit() for ch in raw) and form[0] != "\u0001":
+            if form[0] != "\u0001" and (any(ch.isdigit() for ch in raw) or "-" in raw or "_" in raw):
                 form = "\u0001i"
         elif kind == "p":
             form = "\u0001P" if "." in raw.rsplit("/", 1)[-1][1:] else "\u0001Q"
+        elif kind == "h":
+            form = "\u0001H"
         elif kind == "n":
             form = "\u0001N"
         elif kind == "l":
@@ -60,7 +65,7 @@ def count(texts: list[str | None]) -> tuple[Counter, Counter, Counter]:
     for t in texts:
         if not t:
             continue
-        seq = tokens(t)
+        seq = [("\n", "\n"), *tokens(t)]
         forms = [f for f, _ in seq]
         for i in range(len(forms) - 1):
             if forms[i] == "\n" or forms[i] in STOPS:
@@ -107,15 +112,24 @@ def ending(text: str | None) -> dict | None:
         return None
     line = re.split(r"\n|(?<=[.!?。！？])\s", t)[-1]
     opened = any(line.count(a) > line.count(b) for a, b in ("()", "[]", "（）", "{}"))
-    sure = fences % 2 == 1 or opened or t[-1] in ",，、([{（" or t.endswith(("``", "\\"))
+    sure = fences % 2 == 1 or opened or t[-1] in ",，、;；:：([{（/" or t.endswith(("``", "\\")) or bool(_HALF.search(t)) or bool(_CLOCK_END.search(t)) and len(_CLOCK.findall(t)) >= 2
     while seq and seq[-1][0] == "\n":
         seq.pop()
     forms = [f for f, _ in seq]
     if not forms:
         return None
     last = seq[-1][1]
-    if "/" in last:
+    if "/" in last and len(last) > 1:
         last = re.findall(r"\w+", last)[-1]
-    elif "-" in last and not last.endswith("-"):
-        last = last
-    return {"marked": marked, "sure": sure, "last": last if last[0].isalpha() and not re.match(r"[㐀-鿿]", last) else "", "keys": [key(tuple(forms[-n:])) for n in range(1, ORDER + 1) if len(forms) >= n]}
+    plain = lambda f: f[0].isalpha()
+    #: what stands for a kind of name says little alone; list marks and line starts before it say nothing
+    told = lambda part: part[-1] == "\u0001Q" or len(part) == ORDER and part[-1][0] == "\u0001" and not set(part[:-1]) & set("\n-*+|(#>") and any(map(plain, part[:-1]))
+    forms = ["\n", *forms]
+    keys = []
+    for n in range(1, ORDER + 1):
+        part = tuple(forms[-n:])
+        if len(forms) <= n and n > 1 or not (plain(part[-1]) or told(part)):
+            keys.append(0)
+        else:
+            keys.append(key(part))
+    return {"marked": marked, "sure": sure, "last": last if last[0].isalpha() and not re.match(r"[㐀-鿿]", last) else "", "keys": keys}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.llm import broken, handwritten, leakage
+from loamgraph.llm import broken, handwritten, leakage, truncation
 from loamgraph.sources.tables import Scratch, table
 
 
@@ -39,5 +39,16 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return p8_found(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p6_found, p6_kinds, p8_found, p8_items)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id) of the documents that were cut off."""
+    return truncation.cut_texts(table(spark, d, "documents"), Scratch(spark, "truncation")).select("doc_id")
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rates of cut texts by source."""
+    docs = table(spark, d, "documents")
+    return truncation.rates(docs, truncation.cut_texts(docs, Scratch(spark, "truncation")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p6_found, p6_kinds, p8_found, p8_items, p9_found, p9_rates)}
 ORACLE: dict[str, str] = {}
