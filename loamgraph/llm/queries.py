@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.llm import broken, handwritten, leakage, truncation
+from loamgraph.llm import broken, handwritten, leakage, packing, truncation
 from loamgraph.sources.tables import Scratch, table
 
 
@@ -50,5 +50,24 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.rates(docs, truncation.cut_texts(docs, Scratch(spark, "truncation")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p6_found, p6_kinds, p8_found, p8_items, p9_found, p9_rates)}
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, piece, tokens, container_id) in containers of 2,048 tokens."""
+    return packing.containers(packing.pieces(packing.sized(table(spark, d, "documents"))), Scratch(spark, "packing"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """One row: containers, tokens, room left and its share, and the least number of containers."""
+    size = F.lit(packing.CAPACITY)
+    total = p7_containers(spark, d).agg(F.countDistinct("container_id").alias("containers"), F.sum("tokens").alias("tokens"))
+    return total.select("containers", "tokens", (F.col("containers") * size - F.col("tokens")).alias("room"), F.round(1 - F.col("tokens") / (F.col("containers") * size), 6).alias("room_share"), F.ceil(F.col("tokens") / size).alias("least_containers"))
+
+
+def p7_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """(over, up_to, texts, padding) of sixteen length buckets with the least padding."""
+    items = packing.pieces(packing.sized(table(spark, d, "documents")))
+    histogram = {r.tokens: r.n for r in items.groupBy("tokens").agg(F.count("*").alias("n")).collect()}
+    return spark.createDataFrame(packing.length_buckets(histogram), "over long, up_to long, texts long, padding long")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p6_found, p6_kinds, p7_containers, p7_fill, p7_buckets, p8_found, p8_items, p9_found, p9_rates)}
 ORACLE: dict[str, str] = {}
