@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from loamgraph.plans import problems
+from loamgraph.plans import catalog, problems
 
-FLAGSHIP = "p4_found"
+FLAGSHIP = "m6_hybrid"
 
 
 def queries() -> dict:
-    return dict(problems.QUERIES)
+    return catalog.QUERIES | problems.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return catalog.ORACLE | problems.ORACLE
