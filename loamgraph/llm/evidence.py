@@ -38,7 +38,7 @@ _ANY_COMMENT = re.compile(r"(?:(?<=\s)|^)//[^\n]*|/\*[\s\S]*?\*/|^\s*#[^\n]*|<!-
 _NUMBER = re.compile(r"(?<![\w.])-?\d[\d_.]*(?:[eE][+-]?\d+)?\b")
 _WORD = re.compile(r"[A-Za-z_$][\w$]*")
 _TOKEN = re.compile(r"\w+")
-_COUNTED = re.compile(r"[A-Za-z_]\d+(?!\w)|-\d+\"")
+_COUNTED = re.compile(r"[A-Za-z_]\d+(?![a-z0-9])|-\d+\"")
 
 #: A file needs this many characters, or lines, for its statistics to mean anything.
 LEAST_CHARS, LEAST_LINES = 300, 8
@@ -69,7 +69,7 @@ def kind(text: str | None, language: str | None) -> str | None:
     if not text or not text.strip():
         return None
     head = leading(text)
-    lines = [re.sub(r"^[\s/*#<!-]+|[\s*/>-]+$", "", x) for x in head.split("\n")]
+    lines = [re.sub(r"^(?:\s|//+|/\*+!?|\*+|#+|<!--)+|(?:\s|\*+/|-->)+$", "", x) for x in head.split("\n")]
     clean = "\n".join(lines)
     if _GENERATED.search(clean):
         return "generated"
