@@ -73,13 +73,15 @@ def parse(text: str | None) -> list[tuple[int, str, str, bool | None]]:
 def _rules(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = [(s, d, *r) for s, d, t in zip(b.source_id, b.dir, b.content) for r in parse(t)]
-        yield pd.DataFrame(rows, columns=["source_id", "dir", "line", "regex", "meaning", "value"])
+        if rows:
+            yield pd.DataFrame(rows, columns=["source_id", "dir", "line", "regex", "meaning", "value"])
 
 
 def _matching(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         hit = [bool(re.fullmatch(r, p)) for r, p in zip(b.regex, b.rel)]
-        yield b[hit][["file_id", "meaning", "dir", "line", "value"]]
+        if any(hit):
+            yield b[hit][["file_id", "meaning", "dir", "line", "value"]]
 
 
 def declared(files: DataFrame) -> DataFrame:

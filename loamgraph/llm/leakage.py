@@ -126,7 +126,7 @@ def _rows(ids, lists: list[list[str]], fixed: frozenset[str], wanted: np.ndarray
             out_val += values[row].astype(np.int64).tolist()
             out_pos.append(pos[row])
     empty = np.empty(0, np.int64)
-    return pd.DataFrame({name: out_id, "key": np.concatenate(out_key) if out_key else empty, f"{name}_values": out_val, f"{name}_pos": np.concatenate(out_pos) if out_pos else empty.astype(np.int32)})
+    return pd.DataFrame({name: out_id, "key": np.concatenate(out_key) if out_key else empty, f"{name}_values": pd.Series(out_val, dtype=object), f"{name}_pos": np.concatenate(out_pos) if out_pos else empty.astype(np.int32)})
 
 
 def passage(item: list[str], doc: list[str]) -> tuple[int, int]:
@@ -170,11 +170,13 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield _rows(b.doc_id, [words_of(t) for t in b.text], known.value, wanted.value, "doc").rename(columns={"doc": "doc_id"})
+            found = _rows(b.doc_id, [words_of(t) for t in b.text], known.value, wanted.value, "doc")
+            if len(found):  # an empty frame has no types to convert
+                yield found.rename(columns={"doc": "doc_id"})
 
     docs = documents.filter("doc_id is not null and text is not null").select("doc_id", "text")
     hits = docs.mapInPandas(scan, "doc_id long, key long, doc_values array<long>, doc_pos int")
-    side_df = spark.createDataFrame(side if len(side) else pd.DataFrame({"item": pd.Series([], dtype="int64"), "key": pd.Series([], dtype="int64"), "item_values": [], "item_pos": pd.Series([], dtype="int32")}), "item long, key long, item_values array<long>, item_pos int")
+    side_df = spark.createDataFrame(side if len(side) else pd.DataFrame({"item": pd.Series([], dtype="int64"), "key": pd.Series([], dtype="int64"), "item_values": pd.Series([], dtype=object), "item_pos": pd.Series([], dtype="int32")}), "item long, key long, item_values array<long>, item_pos int")
     differs = F.size(F.filter(F.zip_with("doc_values", "item_values", lambda x, y: x != y), lambda v: v))
     pairs = hits.join(side_df, "key").filter(differs <= 1).groupBy("doc_id", F.col("item").alias("item_id")).agg(F.countDistinct("doc_pos").alias("n")).filter(F.col("n") >= LEAST_WINDOWS)
     held = context.broadcast(dict(zip(ids, scen)))
@@ -189,7 +191,8 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
                 near = _around(words, scenario)
                 score, span = passage(scenario, near)
                 ok.append(score >= min(LEAST_SCORE, 0.8 * len(scenario)) and span >= min(LEAST_WORDS, len(scenario)))
-            yield b[ok][["doc_id", "item_id"]]
+            if any(ok):
+                yield b[ok][["doc_id", "item_id"]]
 
     return pairs.join(docs, "doc_id").select("doc_id", "text", "item_id").mapInPandas(check, "doc_id long, item_id long").distinct()
 

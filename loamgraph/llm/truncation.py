@@ -37,8 +37,10 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         ends, goes, words = count(list(b.text))
         forms = list(ends.keys() | goes.keys())
-        yield pd.DataFrame({"key": [key(f) for f in forms], "word": None, "a": [ends[f] for f in forms], "b": [goes[f] for f in forms]})
-        yield pd.DataFrame({"key": pd.array([None] * len(words), dtype="Int64"), "word": list(words), "a": list(words.values()), "b": 0})
+        if forms:  # an empty frame has no types to convert
+            yield pd.DataFrame({"key": [key(f) for f in forms], "word": None, "a": [ends[f] for f in forms], "b": [goes[f] for f in forms]})
+        if words:
+            yield pd.DataFrame({"key": pd.array([None] * len(words), dtype="Int64"), "word": list(words), "a": list(words.values()), "b": 0})
 
 
 def _ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -49,7 +51,8 @@ def _ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if e is not None:
                 k = [*e["keys"], 0, 0, 0][:3]
                 rows.append((i, s, len(t), len(t.encode("utf-8", "replace")), e["marked"], e["sure"], e["last"], *k))
-        yield pd.DataFrame(rows, columns=["doc_id", "source", "chars", "bytes", "marked", "sure", "last", "k1", "k2", "k3"])
+        if rows:
+            yield pd.DataFrame(rows, columns=["doc_id", "source", "chars", "bytes", "marked", "sure", "last", "k1", "k2", "k3"])
 
 
 def cut_texts(documents: DataFrame, scratch: Scratch) -> DataFrame:
