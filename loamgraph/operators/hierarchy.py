@@ -45,9 +45,12 @@ def forest(nodes: DataFrame, scratch: Scratch, sizes: bool = False) -> DataFrame
     )
     state = scratch.cut(start)
     pieces: list[DataFrame] = []  # finished nodes by round, when sizes aren't asked for
+    still = F.count(F.when(F.col("ptr").isNotNull(), 1))
+    before = state.agg(still).first()[0]
     while True:
+        held = state
         if sizes:
-            state = _add_sizes(state, scratch)
+            state = _add_sizes(state)
         opened = state.filter("ptr is not null")
         to = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("up"), F.col("root_id").alias("up_root"), F.col("dist").alias("up_dist"))
         if pieces:
@@ -56,17 +59,13 @@ def forest(nodes: DataFrame, scratch: Scratch, sizes: bool = False) -> DataFrame
         stepped = opened.join(to, "ptr").select("id", "parent", F.col("up").alias("ptr"), F.col("up_root").alias("root_id"), (F.col("dist") + F.col("up_dist")).alias("dist"), "size")
         done = state.filter("ptr is null")
         nxt = scratch.cut(stepped if not sizes else stepped.unionByName(done))
+        left = nxt.agg(still).first()[0]
+        finished, before = before - left, left
         if sizes:
-            counts = nxt.agg(F.count(F.when(F.col("ptr").isNotNull(), 1)).alias("o")).first()
-            before = state.agg(F.count(F.when(F.col("ptr").isNotNull(), 1)).alias("o")).first()
-            left, finished = counts.o, before.o - counts.o
-            scratch.drop(state)
-            state = nxt
+            scratch.drop(held)
         else:
             pieces.append(done)
-            row = nxt.agg(F.count("*").alias("n"), F.count(F.when(F.col("ptr").isNotNull(), 1)).alias("o")).first()
-            left, finished = row.o, row.n - row.o
-            state = nxt
+        state = nxt
         if left == 0 or finished == 0:
             break
     whole = state
@@ -86,7 +85,7 @@ def forest(nodes: DataFrame, scratch: Scratch, sizes: bool = False) -> DataFrame
     return out.join(marks, "id", "left").withColumn("on_cycle", F.coalesce("on_cycle", F.lit(0).cast("long")))
 
 
-def _add_sizes(state: DataFrame, scratch: Scratch) -> DataFrame:
+def _add_sizes(state: DataFrame) -> DataFrame:
     """Adds to each node the sizes collected by the nodes 2^k levels below it."""
     below = state.filter("ptr is not null").groupBy(F.col("ptr").alias("id")).agg(F.sum("size").alias("more"))
     return state.join(below, "id", "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).drop("more")

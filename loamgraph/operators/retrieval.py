@@ -34,9 +34,9 @@ def bm25(docs: DataFrame, queries: DataFrame, terms, k: int = 10) -> DataFrame:
     idf = df.crossJoin(stats).select("term", "avg_len", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     scored = post.join(idf, "term").select("doc_id", "term", weight.alias("w")).join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("times")).alias("raw"))
-    best = F.max("raw").over(Window.partitionBy("query_id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("raw", 6).desc(), "doc_id"))
-    top = scored.withColumn("best", best).withColumn("rank", rank).filter(F.col("rank") <= k)
+    # the rank alone is filtered first, so that each task keeps k rows a query before the shuffle
+    top = scored.withColumn("rank", rank).filter(F.col("rank") <= k).withColumn("best", F.max("raw").over(Window.partitionBy("query_id")))
     return top.select("query_id", "doc_id", F.round(F.least(F.greatest(F.col("raw") / (1.05 * F.col("best")), F.lit(0.1)), F.lit(1.0)), 6).alias("score"), "rank")
 
 

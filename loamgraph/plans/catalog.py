@@ -92,7 +92,7 @@ def m3_path_normalize(spark, d):
 def m3_symbol_key(spark, d):
     e = table(spark, d, "entities").filter(F.col("entity_key").startswith("SYMBOL:") & F.col("name").isNotNull())
     p = F.split("entity_key", ":")
-    return e.select("entity_key", p[1].alias("project"), p[2].alias("path"), p[3].alias("kind"), F.regexp_extract("entity_key", "[^:]*$", 0).alias("disc"), S.uri(F.col("project_key"), F.coalesce("path", F.lit("")), F.col("name")).alias("uri"), F.sha2("name", 256).alias("name_hash"))
+    return e.select("entity_key", F.get(p, F.lit(1)).alias("project"), F.get(p, F.lit(2)).alias("path"), F.get(p, F.lit(3)).alias("kind"), F.regexp_extract("entity_key", "[^:]*$", 0).alias("disc"), S.uri(F.col("project_key"), F.coalesce("path", F.lit("")), F.col("name")).alias("uri"), F.sha2("name", 256).alias("name_hash"))
 
 
 @query("""with o as (select distinct 0.5 + l_tax * 5 as confidence from lineitem)

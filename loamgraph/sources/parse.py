@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamgraph.functions.scalars import bare_code
@@ -104,21 +104,25 @@ def chunks(documents: DataFrame) -> DataFrame:
     return d.select("doc_id", F.posexplode(kept).alias("chunk", "p")).select("doc_id", "chunk", "p.start_line", "p.end_line", "p.text")
 
 
-def commit_log(lines: DataFrame) -> DataFrame:
-    """(sha, author, path, change, old_path, insertions, deletions) of a log in text lines (seq, value).
+def commit_log(records: DataFrame) -> DataFrame:
+    """(sha, author, path, change, old_path, insertions, deletions) of log records (value).
 
-    Header lines hold sha, author and time between unit separators; name-status
-    and numstat lines follow.  The header is carried down to its lines; counts
-    that are no numbers (binary files) are 0.
+    A record is one commit, as a text source with the record separator as
+    ``lineSep`` gives it: a header of sha, author and time between unit
+    separators, then name-status and numstat lines.  Each record is parsed
+    inside its row.  Counts that are no numbers (binary files) are 0.
     """
-    w = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    parts = F.split("value", "\x1f")
-    h = lines.withColumn("head", F.when(F.col("value").contains("\x1f"), F.struct(parts[0].alias("sha"), parts[1].alias("author"))))
-    h = h.withColumn("head", F.last("head", True).over(w)).filter(~F.col("value").contains("\x1f") & (F.trim("value") != ""))
-    t = F.split("value", "\t")
-    status = h.filter(F.col("value").rlike(r"^[A-Z]\d*\t")).select("head.sha", "head.author", F.when(F.size(t) > 2, t[2]).otherwise(t[1]).alias("path"), F.when(t[0].startswith("A"), "ADDED").when(t[0].startswith("D"), "DELETED").when(t[0].startswith("R"), "RENAMED").otherwise("MODIFIED").alias("change"), F.when(t[0].startswith("R"), t[1]).alias("old_path"))
-    counts = h.filter(F.col("value").rlike(r"^[\d-]+\t[\d-]+\t")).select("head.sha", t[2].alias("path"), F.coalesce(F.expr("try_cast(split(value, '\t')[0] as int)"), F.lit(0)).alias("insertions"), F.coalesce(F.expr("try_cast(split(value, '\t')[1] as int)"), F.lit(0)).alias("deletions"))
-    return status.join(counts, ["sha", "path"], "left").select("sha", "author", "path", "change", "old_path", F.coalesce("insertions", F.lit(0)).alias("insertions"), F.coalesce("deletions", F.lit(0)).alias("deletions"))
+    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
+    head = F.split(F.get(lines, F.lit(0)), "\x1f")
+    r = records.select(F.get(head, F.lit(0)).alias("sha"), F.get(head, F.lit(1)).alias("author"), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))).alias("lines"))
+    number = lambda x: F.coalesce(F.try_to_number(x, F.lit("999999999")).cast("int"), F.lit(0))
+    counts = F.transform(F.filter("lines", lambda x: x.rlike(r"^[\d-]+\t[\d-]+\t")), lambda x: F.struct(F.split(x, "\t")[2].alias("path"), number(F.split(x, "\t")[0]).alias("insertions"), number(F.split(x, "\t")[1]).alias("deletions")))
+    r = r.withColumn("counts", counts).withColumn("line", F.explode(F.filter("lines", lambda x: x.rlike(r"^[A-Z]\d*\t"))))
+    t = F.split("line", "\t")
+    path = F.when(F.size(t) > 2, F.get(t, F.lit(2))).otherwise(F.get(t, F.lit(1)))
+    own = F.filter("counts", lambda c: c["path"] == path)
+    kind = F.when(t[0].startswith("A"), "ADDED").when(t[0].startswith("D"), "DELETED").when(t[0].startswith("R"), "RENAMED").otherwise("MODIFIED")
+    return r.select("sha", "author", path.alias("path"), kind.alias("change"), F.when(t[0].startswith("R"), t[1]).alias("old_path"), F.coalesce(F.get(own, F.lit(0))["insertions"], F.lit(0)).alias("insertions"), F.coalesce(F.get(own, F.lit(0))["deletions"], F.lit(0)).alias("deletions"))
 
 
 def scanned(binary_files: DataFrame) -> DataFrame:

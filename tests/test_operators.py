@@ -112,8 +112,8 @@ def test_cosine_blocks(spark):
 
 
 def test_parsing(spark):
-    log = ["s1\x1fann\x1f2025", "M\ta.ts", "R100\told.ts\tnew.ts", "3\t1\ta.ts", "-\t-\tnew.ts", "s2\x1fbob\x1f2025", "D\tb.ts"]
-    got = rows(parse.commit_log(spark.createDataFrame(list(enumerate(log)), "seq long, value string")))
+    log = ["s1\x1fann\x1f2025\nM\ta.ts\nR100\told.ts\tnew.ts\n3\t1\ta.ts\n-\t-\tnew.ts\n", "s2\x1fbob\x1f2025\nD\tb.ts", "", None]
+    got = rows(parse.commit_log(spark.createDataFrame([(x,) for x in log], "value string")))
     assert got == {("s1", "ann", "a.ts", "MODIFIED", None, 3, 1), ("s1", "ann", "new.ts", "RENAMED", "old.ts", 0, 0), ("s2", "bob", "b.ts", "DELETED", None, 0, 0)}
     pom = "<project><groupId>g</groupId><dependencies><dependency><groupId>x</groupId><artifactId>y</artifactId></dependency></dependencies></project>"
     assert rows(parse.pom_entries(spark.createDataFrame([(1, pom)], "file_id long, content string"))) == {(1, "x:y", "managed", "compile")}
