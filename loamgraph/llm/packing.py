@@ -146,7 +146,7 @@ def containers(items: DataFrame, scratch: Scratch, capacity: int = CAPACITY) ->
     ranked = placed.withColumn("r", rank).join(before, ["tokens", "slice"]).withColumn("rank", F.col("r") + F.col("before"))
     # bounded by the capacity: at most that many sizes, and a filling uses up one of them
     found = ranked.join(F.broadcast(place), "tokens", "left")
-    own = F.filter("places", lambda p: (p["lo"] <= F.col("rank")) & (F.col("rank") < p["hi"]))[0]
+    own = F.get(F.filter("places", lambda p: (p["lo"] <= F.col("rank")) & (F.col("rank") < p["hi"])), F.lit(0))
     return found.withColumn("p", own).select("doc_id", "piece", "tokens", F.coalesce(F.col("p.base") + F.floor((F.col("rank") - F.col("p.lo")) / F.col("p.per")), F.lit(0)).cast("long").alias("container_id"))
 
 
