@@ -27,8 +27,8 @@ def forest(nodes: DataFrame, scratch: Scratch, sizes: bool = False) -> DataFrame
     """Root, depth and cycle flag of each node.
 
     ``nodes``: id string (unique, not null), parent string (null for a root;
-    each other parent must be an id).  Result: id, parent, root_id, node_depth
-    long, on_cycle long.  Nodes on or below a cycle have root_id '' and
+    each other parent must be an id).  Result: id, root_id, node_depth long,
+    on_cycle long.  Nodes on or below a cycle have root_id '' and
     node_depth -1.  With ``sizes``, also size: nodes in the subtree, itself
     included (not defined on cycles).  An empty input gives an empty result.
 
@@ -37,7 +37,6 @@ def forest(nodes: DataFrame, scratch: Scratch, sizes: bool = False) -> DataFrame
     """
     start = nodes.select(
         "id",
-        "parent",
         F.col("parent").alias("ptr"),
         F.when(F.col("parent").isNull(), F.col("id")).alias("root_id"),
         F.when(F.col("parent").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("long").alias("dist"),
@@ -56,7 +55,7 @@ def forest(nodes: DataFrame, scratch: Scratch, sizes: bool = False) -> DataFrame
         if pieces:
             for p in pieces:
                 to = to.unionByName(p.select(F.col("id").alias("ptr"), F.lit(None).cast("string").alias("up"), F.col("root_id").alias("up_root"), F.col("dist").alias("up_dist")))
-        stepped = opened.join(to, "ptr").select("id", "parent", F.col("up").alias("ptr"), F.col("up_root").alias("root_id"), (F.col("dist") + F.col("up_dist")).alias("dist"), "size")
+        stepped = opened.join(to, "ptr").select("id", F.col("up").alias("ptr"), F.col("up_root").alias("root_id"), (F.col("dist") + F.col("up_dist")).alias("dist"), "size")
         done = state.filter("ptr is null")
         nxt = scratch.cut(stepped if not sizes else stepped.unionByName(done))
         left = nxt.agg(still).first()[0]
@@ -74,7 +73,6 @@ def forest(nodes: DataFrame, scratch: Scratch, sizes: bool = False) -> DataFrame
     cyclic = _cycle_nodes(whole.filter("ptr is not null").select("id", "ptr"), scratch) if left else None
     out = whole.select(
         "id",
-        "parent",
         F.when(F.col("ptr").isNull(), F.col("root_id")).otherwise("").alias("root_id"),
         F.when(F.col("ptr").isNull(), F.col("dist")).otherwise(F.lit(-1)).cast("long").alias("node_depth"),
         *([F.col("size")] if sizes else []),

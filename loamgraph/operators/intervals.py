@@ -145,7 +145,7 @@ def chains(nodes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     before its smallest node.  Results: (id, chain, seq) and, by chain,
     (chain, up_chain, up_seq): where the chain's first node hangs.
     """
-    whole = scratch.cut(forest(nodes.select("id", "parent"), scratch, sizes=True))
+    whole = scratch.cut(nodes.select("id", "parent").join(forest(nodes.select("id", "parent"), scratch, sizes=True), "id"))
     cyclic = whole.filter("on_cycle = 1").select("id", "parent")
     cuts = _smallest_on_cycle(cyclic, scratch)
     links = whole.join(cuts.withColumn("cut", F.lit(True)), "id", "left")
