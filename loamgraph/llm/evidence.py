@@ -132,3 +132,13 @@ def fingerprints(text: str | None, words: int = 24, window: int = 5) -> np.ndarr
     if n > window:
         h = np.lib.stride_tricks.sliding_window_view(h, window).min(axis=1)
     return np.unique(h).astype(np.int64)
+
+
+def whole(text: str | None) -> np.ndarray:
+    """One hash of all words outside comments, for a text too short for a run; none without words."""
+    w = _TOKEN.findall(_ANY_COMMENT.sub(" ", (text or "").lower()))
+    if not w:
+        return np.empty(0, np.int64)
+    import xxhash
+
+    return np.array([xxhash.xxh3_64_intdigest("\0".join(["whole", *w]))], np.uint64).astype(np.int64)

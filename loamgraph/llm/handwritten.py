@@ -6,7 +6,9 @@ Three sources of evidence, strongest first:
 2. the file's own text (``evidence``): notices, annotations, shape;
 3. patterns mined from other repositories: runs of 24 words that also stand in
    a file of another project.  A file that consists of such runs is a copy of
-   something both took from outside, with or without its notice.
+   something both took from outside, with or without its notice.  A file of
+   fewer words than a run is one when another project has all its words in
+   the same order.  Any size counts; a file of comments alone has no words.
 
 The third needs one aggregation over fingerprints (the least and greatest
 project of each, combined before the shuffle) and one join back; no pairs of
@@ -17,23 +19,29 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamgraph.llm import attributes
-from loamgraph.llm.evidence import fingerprints, kind
+from loamgraph.llm.evidence import fingerprints, kind, whole
 from loamgraph.llm.syntax import language_of
 from loamgraph.sources.tables import Scratch
 
-#: Share of a file's runs that must stand in another project, and how many runs it needs.
-COPIED_SHARE, LEAST_RUNS = 0.8, 8
+#: Share of a file's runs that must stand in another project.
+COPIED_SHARE = 0.8
+
+
+def _runs(text: str | None) -> np.ndarray:
+    found = fingerprints(text)
+    return found if found.size else whole(text)
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         kinds = [kind(t, language_of(a, p)) for t, a, p in zip(b.content, b.language, b.file_path)]
-        runs = [fingerprints(t) if k in (None, "vendored") else [] for t, k in zip(b.content, kinds)]
+        runs = [_runs(t) if k in (None, "vendored") else [] for t, k in zip(b.content, kinds)]
         yield pd.DataFrame({"file_id": b.file_id, "project_key": b.project_key, "kind": kinds, "runs": runs})
 
 
@@ -49,7 +57,7 @@ def found(files: DataFrame, scratch: Scratch) -> DataFrame:
     runs = read.filter(F.size("runs") > 0).select("file_id", F.coalesce("project_key", F.lit("")).alias("project_key"), F.explode("runs").alias("run"))
     seen = runs.groupBy("run").agg(F.min("project_key").alias("a"), F.max("project_key").alias("z")).filter("a != z").select("run")
     shared = runs.join(seen, "run").groupBy("file_id").agg(F.countDistinct("run").alias("shared"))
-    copies = read.filter(F.size("runs") >= LEAST_RUNS).select("file_id", F.size("runs").alias("n")).join(shared, "file_id").filter(F.col("shared") >= COPIED_SHARE * F.col("n")).select("file_id", F.lit("vendored").alias("kind"))
+    copies = read.filter(F.size("runs") > 0).select("file_id", F.size("runs").alias("n")).join(shared, "file_id").filter(F.col("shared") >= COPIED_SHARE * F.col("n")).select("file_id", F.lit("vendored").alias("kind"))
     own = read.filter("kind is not null").select("file_id", "kind").unionByName(copies)
     said = attributes.declared(files)
     kept = own.join(said.filter("not value").select("file_id", F.col("meaning").alias("kind")), ["file_id", "kind"], "left_anti")

@@ -63,6 +63,17 @@ def test_handwritten(spark):
     assert handwritten.found(df.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_copies_of_any_size(spark):
+    small = "package a.b;\nclass Grid {\n" + "\n".join(f"  int {x} = {i};" for i, x in enumerate(["top", "left", "width", "height", "rows", "columns", "gap", "margin", "border", "shade", "depth"])) + "\n}\n"
+    assert 0 < evidence.fingerprints(small).size < 8 and evidence.fingerprints("var pad = (s, n) => s.padStart(n);").size == 0
+    data = [(i, f"P{i % 2}", f"s{i}", f"s{i}/g{i}.java", "java", ("// local\n" if i else "") + small, 1, "x") for i in range(2)]
+    data += [(10 + i, f"P{i}", f"s{i}", f"s{i}/pad.js", "javascript", "var pad = (s, n) => s.padStart(n);" + " " * i, 1, "x") for i in range(2)]
+    data += [(20 + i, f"P{i}", f"s{i}", f"s{i}/empty.js", "javascript", "/* intentionally empty */", 1, "x") for i in range(2)]  # no words
+    data += [(30 + i, "P0", f"t{i}", f"t{i}/own.js", "javascript", "var own = (a, b) => a.join(b);", 1, "x") for i in range(2)]  # one project
+    data += [(40 + i, f"P{i}", f"s{i}", f"s{i}/near.js", "javascript", f"export const size{'ab'[i]} = read();", 1, "x") for i in range(2)]
+    assert rows(handwritten.found(spark.createDataFrame(data, FILES), Scratch(spark, "t"))) == {(i, "vendored") for i in (0, 1, 10, 11)}
+
+
 @pytest.mark.parametrize("glob,path,ok", [("*.js", "a/b.js", True), ("*.js", "a.jsx", False), ("/a/*.js", "a/b.js", True), ("a/*.js", "x/a/b.js", False), ("**/gen/**", "x/gen/y/z", True), ("a?c", "q/abc", True), ("[ab].c", "b.c", True)])
 def test_globs(glob, path, ok):
     import re
