@@ -136,16 +136,18 @@ def latest_runs(runs: DataFrame) -> DataFrame:
     return runs.filter("run_id is not null").groupBy("run_id").agg(m).select("run_id", "m.*")
 
 
-def chains(nodes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def chains(nodes: DataFrame, scratch: Scratch, whole: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Sequence numbers along chains.
 
     Each node continues the chain of its parent if it is the child with the
     largest subtree there (then the greatest id), so that any path to a root
     meets at most log2(n) chains; other children start chains.  A cycle is cut
     before its smallest node.  Results: (id, chain, seq) and, by chain,
-    (chain, up_chain, up_seq): where the chain's first node hangs.
+    (chain, up_chain, up_seq): where the chain's first node hangs.  ``whole``:
+    id, parent and what ``forest`` with sizes gives, if that is at hand.
     """
-    whole = scratch.cut(nodes.select("id", "parent").join(forest(nodes.select("id", "parent"), scratch, sizes=True), "id"))
+    if whole is None:
+        whole = scratch.cut(nodes.select("id", "parent").join(forest(nodes.select("id", "parent"), scratch, sizes=True), "id"))
     cyclic = whole.filter("on_cycle = 1").select("id", "parent")
     cuts = _smallest_on_cycle(cyclic, scratch)
     links = whole.join(cuts.withColumn("cut", F.lit(True)), "id", "left")

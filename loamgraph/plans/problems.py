@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgraph.functions.normal import clean_path, parent_path, strip_ws
+from loamgraph.operators.ancestry import ancestry
 from loamgraph.operators.gitgraph import commit_nodes
 from loamgraph.operators.hierarchy import closure, forest
 from loamgraph.operators.history import versions
@@ -69,7 +70,12 @@ def p5_subtree_sizes(spark: SparkSession, d: str) -> DataFrame:
     return found.filter("node_depth >= 0").select(F.col("id").alias("node_id"), (F.col("size") - 1).alias("descendants"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p5_paths, p5_descendants, p5_subtree_sizes)}
+def p5_commit_trees(spark: SparkSession, d: str) -> DataFrame:
+    """(node_id, root_id, node_depth, chain, seq, path, first, last): path and descendants of each commit, see ``ancestry``."""
+    return ancestry(commit_nodes(table(spark, d, "commits")), Scratch(spark, "commit-trees")).withColumnRenamed("id", "node_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p5_paths, p5_descendants, p5_commit_trees, p5_subtree_sizes)}
 
 _ONE = """one as (select sha, source_id, parent_ref from (select sha, source_id, nullif(regexp_replace(lower(regexp_replace(parent_sha, '^\\s+|\\s+$', '', 'g')), '^0+$', ''), '') as parent_ref, row_number() over (partition by sha order by recorded_at desc nulls last, nullif(regexp_replace(lower(regexp_replace(parent_sha, '^\\s+|\\s+$', '', 'g')), '^0+$', ''), '') desc nulls last, source_id desc) as rn from commits where sha is not null) where rn = 1),
 par as (select c.sha as id, min(p.sha) as parent from one c left join one p on p.source_id = c.source_id and left(p.sha, 10) = left(c.parent_ref, 10) and (p.sha = c.parent_ref or (length(c.parent_ref) between 10 and 39 and starts_with(p.sha, c.parent_ref))) group by c.sha)"""

@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from loamgraph.operators import history, intervals, snapshot_diff
+from loamgraph.operators.ancestry import ancestry
 from loamgraph.operators.hierarchy import closure, forest
 from loamgraph.plans import problems
 from loamgraph.sources.tables import Scratch, table
@@ -124,6 +125,30 @@ def test_forest_and_closure(spark):
     assert rows(pairs) == {("a", "b", 1), ("b", "c", 1), ("a", "c", 2), ("a", "d", 1)}
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_commit_trees(spark, seed):
+    commits, _ = random_history(seed)
+    parent, _, _ = brute.commit_parents(dicts(commits, COMMITS))
+    nodes = spark.createDataFrame(list(parent.items()), "id string, parent string")
+    got = {r.id: r for r in ancestry(nodes, Scratch(spark, "t")).collect()}
+    tree = brute.tree(parent)
+    assert {k: (r.root_id, r.node_depth) for k, r in got.items()} == {k: v[:2] for k, v in tree.items()}
+    members = {(r.chain, r.seq): k for k, r in got.items()}
+    below = set()
+    for k, (_, depth, _) in tree.items():
+        if depth < 0:
+            assert got[k].path is None and got[k].first is None and got[k].last is None
+            continue
+        up = [k]
+        while parent[up[-1]] is not None:
+            up.append(parent[up[-1]])
+        assert [members[c, i] for c, n in got[k].path for i in range(n + 1)] == up[::-1]
+        below |= {(a, k, i) for i, a in enumerate(up) if i}
+    whole = [r for r in got.values() if r.node_depth >= 0]
+    assert {(a.id, b.id, b.node_depth - a.node_depth) for a in whole for b in whole if a.root_id == b.root_id and a.first < b.first <= a.last} == below
+    assert ancestry(nodes.limit(0), Scratch(spark, "t")).count() == 0
+
+
 def test_deep_chain(spark):
     n = 3000
     df = spark.createDataFrame([(str(i), str(i - 1) if i else None) for i in range(n)], "id string, parent string")
