@@ -333,14 +333,46 @@ def m8_served_routes(spark, d):
     return parse.served_routes(table(spark, d, "source_files"))
 
 
+def _contract_sides(spark, d):
+    """Call sites and endpoints, a row a file, with the representative each stands under.
+
+    Calls of one method and path are one; endpoints also need the same loss (mock, legacy or none) by their file's path.
+    """
+    files = table(spark, d, "source_files")
+    calls = parse.client_calls(files).select("file_id", "method", "path", F.concat_ws(" ", "method", "path").alias("call_id")).distinct()
+    low = F.lower(F.col("file_path"))
+    loss = F.when(low.contains("mock"), "mock").when(low.rlike("legacy|deprecated"), "legacy").otherwise("")
+    served = parse.served_routes(files).join(files.groupBy("file_id").agg(F.max("file_path").alias("file_path")), "file_id")
+    served = served.select("file_id", "method", "path", F.coalesce(loss, F.lit("")).alias("file_path")).distinct()
+    return calls, served.withColumn("end_id", F.concat_ws(" ", "method", "path", F.when(F.col("file_path") != "", F.col("file_path"))))
+
+
 @query()
 def m8_ranked_contracts(spark, d):
-    """Distinct calls against distinct routes of all files; singular and plural resource names are one."""
-    files = table(spark, d, "source_files")
-    plural = F.regexp_replace("path", r"s(/|$)", "$1")
-    calls = parse.client_calls(files).select("method", plural.alias("path")).distinct().withColumn("call_id", F.concat_ws(" ", "method", "path"))
-    served = parse.served_routes(files).select("method", plural.alias("path"), F.lit("").alias("file_path")).distinct().withColumn("end_id", F.concat_ws(" ", "method", "path"))
-    return contracts.ranked(contracts.graded(calls, served), served)
+    """Calls against routes, by representatives; m8_contract_members has their files.
+
+    Paths that are equal only without a plural s are HEURISTIC, .7 at most.
+    ``ends`` files serve the route; they take the ranks from ``rank`` on, and
+    two of them at the top make a call ambiguous.
+    """
+    calls, served = _contract_sides(spark, d)
+    calls = calls.select("call_id", "method", "path").distinct()
+    ends = served.groupBy("end_id", "method", "path", "file_path").agg(F.countDistinct("file_id").alias("ends"))
+    singular = lambda df: df.withColumn("path", F.regexp_replace("path", r"s(/|$)", "$1"))
+    exact = contracts.graded(calls, ends)
+    alike = contracts.graded(singular(calls), singular(ends)).join(exact, ["call_id", "end_id"], "left_anti").select("call_id", "end_id", F.lit("HEURISTIC").alias("grade"), F.least("confidence", F.lit(0.7)).alias("confidence"))
+    out = contracts.ranked(exact.unionByName(alike), ends).join(ends.select("end_id", "ends"), "end_id")
+    w = Window.partitionBy("call_id")
+    several = F.max(F.when(F.col("rank") == 1, F.col("ends"))).over(w) > 1
+    rank = F.coalesce(F.sum("ends").over(w.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1
+    return out.select("call_id", "end_id", "grade", "confidence", rank.alias("rank"), (F.col("ambiguous") | several).alias("ambiguous"), "ends")
+
+
+@query()
+def m8_contract_members(spark, d):
+    """(side, id, file_id): the files that each call_id and end_id of m8_ranked_contracts stands for."""
+    calls, served = _contract_sides(spark, d)
+    return calls.select(F.lit("call").alias("side"), F.col("call_id").alias("id"), "file_id").unionByName(served.select(F.lit("end").alias("side"), F.col("end_id").alias("id"), "file_id"))
 
 
 # -- quality

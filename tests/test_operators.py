@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loamgraph.functions import normal, scalars
 from loamgraph.operators import contracts, graph, metrics, retrieval, state
+from loamgraph.plans import catalog
 from loamgraph.sources import parse
 from loamgraph.sources.tables import Scratch
 from loamgraph.streaming import ingest
@@ -85,6 +86,22 @@ def test_contracts(spark):
     assert {(a, b, float(c)) for a, b, c in rows(d)} == {("c", "x", 0.5), ("c", "y", 0.5), ("d", "z", 0.9)}
 
 
+def test_contracts_by_file(spark, tmp_path):
+    serve = '@GetMapping("{}")'.format
+    data = [(1, "a/page.ts", "http.get('/users')"), (2, "a/more.ts", "http.get('/users')\nhttp.get('/roles')\nhttp.get('/user')"), (3, "a/Own.java", serve("/users")), (4, "legacy/Old.java", serve("/users")), (5, "mock/Fake.java", serve("/users")), (6, "b/R.java", serve("/roles")), (7, "c/R.java", serve("/roles"))]
+    spark.createDataFrame(data, "file_id long, file_path string, content string").write.parquet(f"{tmp_path}/source_files.parquet")
+    got = {(r.call_id, r.end_id): (r.grade, r.confidence, r.rank, r.ambiguous) for r in catalog.m8_ranked_contracts(spark, str(tmp_path)).collect()}
+    members = rows(catalog.m8_contract_members(spark, str(tmp_path)))
+    files = lambda side, i: {f for s, x, f in members if (s, x) == (side, i)}
+    pairs = {(c, path, e): v for (call, end), v in got.items() for c in files("call", call) for e in files("end", end) for path in [call]}
+    want = {}
+    for c, path in ((1, "GET /users"), (2, "GET /users")):
+        want |= {(c, path, 3): ("EXACT", 1.0, 1, False), (c, path, 4): ("EXACT", 0.75, 2, False), (c, path, 5): ("EXACT", 0.6, 3, False)}
+    want |= {(2, "GET /roles", e): ("EXACT", 1.0, 1, True) for e in (6, 7)}
+    want |= {(2, "GET /user", e): ("HEURISTIC", c, n, False) for e, c, n in ((3, 0.7, 1), (4, 0.45, 2), (5, 0.3, 3))}
+    assert pairs == want
+
+
 def test_metrics(spark):
     p = spark.createDataFrame([("t", "AUTO", "AUTO", 0.90), ("t", "REJECT", "REJECT", 0.95), ("t", "AUTO", "REVIEW", 0.60), ("t", "REJECT", "AUTO", 0.85)], "task string, expected string, predicted string, confidence double")
     assert tuple(metrics.losses(p).first()) == (0.27375, 0.742516)
