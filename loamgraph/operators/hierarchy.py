@@ -6,8 +6,8 @@ Two forms of the frontier join:
   thousands of nodes).  Its frontier advances by powers of two: every open node
   holds a pointer to the ancestor 2^k levels up and joins the state of that
   ancestor, so a chain of n levels takes log2(n) joins instead of n.
-* ``closure`` goes level by level from the roots with full paths and ancestor
-  pairs, for shallow trees (directories), where those are small.
+* ``closure`` also doubles its reach, and carries full paths and ancestor
+  pairs, for trees (directories) where those are small.
 
 Each round is written to the shared folder, so lineage never grows and a lost
 executor costs one round's tasks.  Nodes are unique by key, so the joins'
@@ -106,27 +106,28 @@ def _cycle_nodes(links: DataFrame, scratch: Scratch) -> DataFrame:
         count = now
 
 
-def closure(nodes: DataFrame, scratch: Scratch, max_levels: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """Full paths and ancestor pairs, level by level from the roots.
+def closure(nodes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Full paths and ancestor pairs, of trees of any depth.
 
     ``nodes``: id, parent as in ``forest``, label string.  Results:
     (id, root_id, node_depth, full_path) with the labels from the root joined
     by '/', and (ancestor_id, id, distance), the latter without the node itself.
-    Nodes that no level reaches are on or below a cycle: path null, depth -1.
+    Nodes on or below a cycle: path null, depth -1.
+
+    As in ``forest`` each round doubles the reach and ends by the same rule.
     """
-    frontier = scratch.cut(nodes.filter("parent is null").select("id", F.col("id").alias("root_id"), F.lit(0).cast("long").alias("node_depth"), F.col("label").alias("full_path"), F.array().cast("array<string>").alias("above")))
-    levels = [frontier]
-    children = nodes.filter("parent is not null")
-    for _ in range(max_levels):
-        frontier = scratch.cut(
-            children.join(frontier.withColumnRenamed("id", "parent"), "parent").select("id", "root_id", (F.col("node_depth") + 1).alias("node_depth"), F.concat_ws("/", "full_path", "label").alias("full_path"), F.concat(F.array("parent"), "above").alias("above"))
-        )
-        if frontier.isEmpty():
+    up = F.col("parent").isNull()
+    state = scratch.cut(nodes.select("id", F.col("parent").alias("ptr"), F.when(up, F.col("id")).alias("root_id"), F.col("label").alias("full_path"), F.when(up, F.array().cast("array<string>")).otherwise(F.array("parent")).alias("above")))
+    still = F.count(F.when(F.col("ptr").isNotNull(), 1))
+    left, reached = state.agg(still).first()[0], state.filter("ptr is null")
+    while left:
+        whole = state.filter("ptr is not null").unionByName(reached)
+        to = whole.select(F.col("id").alias("ptr"), F.col("ptr").alias("next"), F.col("root_id").alias("up_root"), F.col("full_path").alias("up_path"), F.col("above").alias("up_above"))
+        state = scratch.cut(state.filter("ptr is not null").join(to, "ptr").select("id", F.col("next").alias("ptr"), F.col("up_root").alias("root_id"), F.concat_ws("/", "up_path", "full_path").alias("full_path"), F.concat("above", "up_above").alias("above")))
+        before, left = left, state.agg(still).first()[0]
+        reached = reached.unionByName(state.filter("ptr is null"))
+        if left == before:
             break
-        levels.append(frontier)
-    reached = levels[0]
-    for x in levels[1:]:
-        reached = reached.unionByName(x)
-    lost = nodes.join(reached.select("id"), "id", "left_anti").select("id", F.lit("").alias("root_id"), F.lit(-1).cast("long").alias("node_depth"), F.lit(None).cast("string").alias("full_path"))
+    lost = state.filter("ptr is not null").select("id", F.lit("").alias("root_id"), F.lit(-1).cast("long").alias("node_depth"), F.lit(None).cast("string").alias("full_path"))
     pairs = reached.select("id", F.posexplode("above").alias("pos", "ancestor_id")).select("ancestor_id", "id", (F.col("pos") + 1).cast("long").alias("distance"))
-    return reached.drop("above").unionByName(lost), pairs
+    return reached.select("id", "root_id", F.size("above").cast("long").alias("node_depth"), "full_path").unionByName(lost), pairs

@@ -155,6 +155,14 @@ def test_deep_chain(spark):
     assert forest(df, Scratch(spark, "t")).filter("root_id = '0' and node_depth = cast(id as long)").count() == n
 
 
+def test_closure_of_deep_chain(spark):
+    n = 1003
+    df = spark.createDataFrame([(str(i), str(i - 1) if i else None, "d") for i in range(n)], "id string, parent string, label string")
+    paths, pairs = closure(df, Scratch(spark, "t"))
+    assert paths.filter("root_id = '0' and node_depth = cast(id as long) and length(full_path) = 2 * node_depth + 1").count() == n
+    assert pairs.filter("cast(id as long) - cast(ancestor_id as long) = distance").distinct().count() == n * (n - 1) // 2
+
+
 spans = st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 30), st.integers(-2, 8)), max_size=12)
 
 
