@@ -477,6 +477,35 @@ def m11_equivalence(spark, d):
     return state.equivalence(old.select(F.col("path").alias("key"), F.col("digest").alias("value")), new.select(F.col("path").alias("key"), F.col("digest").alias("value")))
 
 
+def _content_ends(spark, d):
+    """(path, digest) of the files of all first and of all last snapshots: sha256, or the size where an end of the path lacks it."""
+    s = table(spark, d, "project_snapshots").groupBy("source_id").agg(F.min(F.struct("created_at", "snapshot_id")).alias("a"), F.max(F.struct("created_at", "snapshot_id")).alias("z"))
+    e = table(spark, d, "snapshot_entities").filter("entity_type = 'FILE'").select("snapshot_id", F.regexp_replace("entity_key", r"\\", "/").alias("path"), F.get_json_object("metadata", "$.sha256").alias("sha"), F.get_json_object("metadata", "$.size_bytes").alias("size"))
+    side = lambda end: e.join(s.select(F.col(f"{end}.snapshot_id").alias("snapshot_id")), "snapshot_id", "left_semi").groupBy("path").agg(F.max("sha").alias("sha"), F.max("size").alias("size")).withColumn("end", F.lit(end))
+    both = side("a").unionByName(side("z")).withColumn("lacks", F.max(F.col("sha").isNull()).over(Window.partitionBy("path")))
+    both = both.select("end", "path", F.when(F.col("lacks"), F.col("size")).otherwise(F.col("sha")).alias("digest"))
+    return both.filter("end = 'a'").drop("end"), both.filter("end = 'z'").drop("end")
+
+
+_CONTENT_ENDS = r"""s as (select source_id, min_by(snapshot_id, (created_at, snapshot_id)) as a, max_by(snapshot_id, (created_at, snapshot_id)) as z from project_snapshots group by source_id),
+e as (select snapshot_id, replace(entity_key, '\', '/') as path, metadata ->> '$.sha256' as sha, metadata ->> '$.size_bytes' as size from snapshot_entities where entity_type = 'FILE'),
+o as (select path, max(sha) as sha, max(size) as size from e where snapshot_id in (select a from s) group by path), n as (select path, max(sha) as sha, max(size) as size from e where snapshot_id in (select z from s) group by path),
+j as (select o.path as p0, n.path as p1, case when o.sha is null or n.sha is null then o.size is distinct from n.size else o.sha <> n.sha end as differs from o full join n on o.path = n.path)"""
+
+
+@query(f"with {_CONTENT_ENDS} select coalesce(p0, p1) as path, case when p0 is null then 'ADDED' when p1 is null then 'DELETED' else 'MODIFIED' end as change from j where p0 is null or p1 is null or differs")
+def m11_content_diff(spark, d):
+    """As m11_file_diff, by content; the data have no text of both ends, so what is format only is not known."""
+    old, new = (x.withColumn("bare_digest", F.col("digest")) for x in _content_ends(spark, d))
+    return state.file_diff(old, new).drop("format_only")
+
+
+@query(f"""with {_CONTENT_ENDS} select count(*) filter (where p0 is not null and p1 is not null) as shared, count(*) filter (where p1 is null) as only_left, count(*) filter (where p0 is null) as only_right, count(*) filter (where p0 is not null and p1 is not null and differs) as differing, round((count(*) filter (where p0 is not null and p1 is not null and not differs)) / greatest(count(*), 1), 4) as match_rate from j""")
+def m11_content_equivalence(spark, d):
+    old, new = _content_ends(spark, d)
+    return state.equivalence(old.withColumnsRenamed({"path": "key", "digest": "value"}), new.withColumnsRenamed({"path": "key", "digest": "value"}))
+
+
 @query("""with s as (select entity_key as key, name as value, upper(status) as st from (select *, row_number() over (partition by entity_key order by updated_at desc, name) rn from entities) where rn = 1),
 a as (select entity_key as key, max_by(entity_name, (authored_at, change_id)) as value from entity_changes where entity_key is not null and entity_name is not null and upper(change_type) <> 'DELETED' group by 1)
 select coalesce(s.key, a.key) as key, case when s.key is null then 'CREATED' when a.key is null then 'DELETED' when st = 'DELETED' then 'REACTIVATED' when s.value is not distinct from a.value then 'UNCHANGED' else 'UPDATED' end as outcome, case when a.key is not null then a.value else s.value end as value

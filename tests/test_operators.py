@@ -113,6 +113,15 @@ def test_metrics(spark):
     assert rows(o) == {("k", 0.5, 5.0), ("k", 0.99, 9.0), ("k", 1.0, 9.0)}
 
 
+def test_content_diff(spark, tmp_path):
+    spark.createDataFrame([("s1", "a", 1), ("s2", "a", 2)], "snapshot_id string, source_id string, created_at int").write.parquet(f"{tmp_path}/project_snapshots.parquet")
+    meta = lambda size, sha: f'{{"size_bytes": {size}' + (f', "sha256": "{sha}"}}' if sha else "}")
+    ents = [("s1", "same", meta(5, "x")), ("s2", "same", meta(5, "x")), ("s1", "edit", meta(5, "x")), ("s2", "edit", meta(5, "y")), ("s1", "bare", meta(5, "x")), ("s2", "bare", meta(5, None)), ("s1", "gone", meta(5, "x")), ("s2", "new", meta(5, "x"))]
+    spark.createDataFrame([(*e, "FILE") for e in ents], "snapshot_id string, entity_key string, metadata string, entity_type string").write.parquet(f"{tmp_path}/snapshot_entities.parquet")
+    assert rows(catalog.m11_content_diff(spark, str(tmp_path))) == {("edit", "MODIFIED"), ("gone", "DELETED"), ("new", "ADDED")}
+    assert tuple(catalog.m11_content_equivalence(spark, str(tmp_path)).first()) == (3, 1, 1, 1, 0.4)
+
+
 def test_state(spark):
     f = lambda v: spark.createDataFrame(v, "path string, digest string, bare_digest string")
     assert rows(state.file_diff(f([("a", "1", "x"), ("b", "2", "y"), ("c", "3", "z")]), f([("b", "9", "y"), ("c", "3", "z"), ("d", "4", "w")]))) == {("a", "DELETED", False), ("b", "MODIFIED", True), ("d", "ADDED", False)}
