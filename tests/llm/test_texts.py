@@ -189,6 +189,33 @@ def test_cuts_held_out(spark, data):
     assert len(got & cut) >= 0.8 * len(cut) and len(got - cut) <= 0.01 * len(docs)
 
 
+def test_cuts_of_a_repeated_corpus(spark):
+    """The same corpus delivered ten times: the same texts are cut, for the same reasons."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "source")
+    one = rows(truncation.cut_texts(docs, Scratch(spark, "t")).select("doc_id", "reason"))
+    times = docs.crossJoin(spark.range(10).withColumnRenamed("id", "copy")).selectExpr("doc_id * 10 + copy as doc_id", "text", "source")
+    assert one and rows(truncation.cut_texts(times, Scratch(spark, "t")).select("doc_id", "reason")) == {(10 * i + k, r) for i, r in one for k in range(10)}
+
+
+def test_closing_lines_and_blobs(spark):
+    """What many texts end with is an ending, though it goes on elsewhere; long runs of characters are no words."""
+    names = ["oak", "beech", "hawthorn", "elder", "yew", "sycamoretree"]
+    docs = [(i, f"The {a} index was built by {b}. It stays with {a}.\n[...]\n{a} stays", "w", 0, "") for i, (a, b) in enumerate((a, b) for a in names for b in names)]
+    docs += [(100 + i, f"The {a} index stays with {b} until the {b} run ends.", "w", 0, "") for i, (a, b) in enumerate((a, b) for a in names for b in names)]
+    docs += [(200, "The oak index was built by elder. It stays with", "w", 0, ""), (201, "blob " + "Ab9" * 400_000, "w", 0, ""), (202, "a.b-" * 50_000, "w", 0, ""), (203, "it is " + "x" * 3000, "w", 0, "")]
+    got = {r.doc_id for r in truncation.cut_texts(spark.createDataFrame(docs, DOCS), Scratch(spark, "t")).collect()}
+    assert 200 in got and not got & set(range(200))
+
+
+def test_context_keys_agree():
+    text = "We moved the roster.\n\nSee core/a.py and core/lib or 3 more"
+    (keys, ends, goes, _), words = endings.counts([text, text], [5, 5 + 64])
+    seen = dict(zip(keys.tolist(), zip(ends.tolist(), goes.tolist())))
+    assert seen[endings.key(("moved", "the", "roster"))] == (2, 0) and seen[endings.key(("we", "moved"))] == (0, 2) and seen[endings.key(("\u0001P", "and", "\u0001Q"))] == (0, 2)
+    assert endings.key(("3", "more")) not in seen and words["roster"] == [2, 1 << 5] and "more" not in words
+    assert endings.counts([], [])[1] == {} and len(endings.counts(["x"], [1])[0][0]) == 0
+
+
 def test_cut_edges(spark):
     docs = [(1, None, "a", 0, ""), (2, "", None, 0, ""), (3, "it was (never", None, 0, ""), (3, "it was (never", None, 0, ""), (4, "done.", "a", 0, "")]
     df = spark.createDataFrame(docs, DOCS)
