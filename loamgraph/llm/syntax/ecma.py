@@ -42,6 +42,12 @@ class Ecma(Recogniser):
         m = _HASHBANG.match(text)
         self.e = m.end() if m else 0
 
+    def modes(self) -> tuple:
+        return (self.functions, self.no_in, self.no_arrow_type, self.in_type, self.in_condition)
+
+    def set_modes(self, modes: tuple) -> None:
+        self.functions, self.no_in, self.no_arrow_type, self.in_type, self.in_condition = modes
+
     # -- tokens
     def advance(self) -> None:
         self.ended = at = self.e
@@ -821,10 +827,10 @@ class Ecma(Recogniser):
                 self.fail()
             return True
 
-        saved, kept = self.save(), list(self.stack)
+        saved = self.save()
         if not self.attempt(head):
             return False
-        if self.in_condition and self.types and kept is not None:
+        if self.in_condition and self.types:
             # in a ? (b) : c => d the colon may belong to the condition
             def whole() -> bool:
                 self.arrow_body()
@@ -836,7 +842,6 @@ class Ecma(Recogniser):
                 return True
             if self.after_was_colon(saved):
                 self.back(saved)
-                self.stack[:] = kept
                 return False
         self.arrow_body()
         return True
@@ -862,7 +867,7 @@ class Ecma(Recogniser):
         start = self.s
         if start in self.ends:
             return self.ends[start]
-        saved, kept = self.save(), list(self.stack)
+        saved = self.save()
         opened: list[int] = []
         found = ("?", "")
         last = ("", "")
@@ -898,7 +903,6 @@ class Ecma(Recogniser):
         except (Rejected, IndexError):
             pass
         self.back(saved)
-        self.stack[:] = kept
         self.ends[start] = found
         return found
 

@@ -79,3 +79,39 @@ def test_exact_checks(data):
             except SyntaxError:
                 ok = False
             assert ok == (verdict(r["content"], lang)[0] is None)
+
+
+def _nested(n, start, form):
+    x = start
+    for _ in range(n):
+        x = form.format(x)
+    return f"x = {x};"
+
+
+@pytest.mark.parametrize("form", ["c ? (a = {}) : b", "d ? (b) : c => ({})", "(a = {}): number => a", "async (a = {})", "f<T>((a = {}) => a)"])
+def test_nested_attempts_end(form):
+    """What may be an arrow's head or an expression is not tried again at each level: below a second, not 2 to the 200."""
+    import time
+
+    for language in ("typescript", "tsx"):
+        began = time.perf_counter()
+        assert verdict(_nested(200, "1", form), language) == (None, None)
+        assert time.perf_counter() - began < 5
+
+
+def test_any_depth():
+    """150,000 brackets are as valid as two; what can't be followed is not judged."""
+    import sys
+
+    from loamgraph.llm import syntax
+
+    n, limit = 150_000, sys.getrecursionlimit()
+    try:
+        for text, language in (("x=" + "[" * n + "]" * n + ";", "javascript"), ("x=" + "(" * n + "1" + ")" * n + ";", "typescript"), ("class A { int x = " + "(" * n + "1" + ")" * n + "; }", "java"), ("[" * n + "]" * n, "json")):
+            assert verdict(text, language) == (None, None), language
+        assert verdict("x=" + "[" * n + "]" * (n - 1) + ";", "javascript")[0]
+        sys.setrecursionlimit(syntax.DEEPEST)
+        with pytest.raises(syntax.NotJudged):
+            verdict("x=" + "[" * 700_000 + "]" * 700_000 + ";", "javascript")
+    finally:
+        sys.setrecursionlimit(limit)

@@ -25,7 +25,8 @@ def test_broken_edges(spark):
     df = spark.createDataFrame([(1, "p", "s", "a.js", None, "f(", 0, ""), (2, None, None, None, None, None, 0, ""), (3, "p", "s", "a.json", "JSON", "", 0, ""), (4, "p", "s", "x.unknown", None, "((", 0, ""), (1, "p", "s", "a.js", None, "f(", 0, "")], FILES)
     v = broken.verdicts(df)
     assert sorted((r.file_id, r.reason) for r in v.collect() if r.reason) == [(1, "premature_end"), (1, "premature_end"), (3, "premature_end")]
-    assert {(r.language, r.files, r.broken) for r in broken.rates(v).collect()} == {("javascript", 1, 1), ("json", 1, 1)}
+    assert {(r.language, r.files, r.broken) for r in broken.rates(v).collect()} == {("javascript", 1, 1), ("json", 1, 1), ("unknown", 1, 0), (None, 1, 0)}
+    assert {(r.language, r.judged, r.rate) for r in broken.rates(v).collect()} == {("javascript", 1, 1.0), ("json", 1, 1.0), ("unknown", 0, None), (None, 0, None)}
     assert broken.verdicts(df.limit(0)).count() == 0
 
 
