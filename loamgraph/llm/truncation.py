@@ -38,8 +38,8 @@ HALF_WORD = 0.01
 #: either side, the texts that are thought to be there before any is seen, and the surprise
 #: (negative log of chance) that makes a limit: 1 in 100,000.
 LIMIT_CHARS, LIMIT_TIMES, AROUND, PRIOR, SURPRISE = 64, 8, 12, 2, 11.5
-#: Texts whose statistics a task combines before it passes them on.
-TOGETHER = 20_000
+#: Characters of texts whose statistics a task combines before it passes them on.
+TOGETHER = 2_000_000
 
 SCAN = "doc_id long, source string, hash long, chars long, bytes long, asked boolean, marked boolean, sure boolean, path boolean, last string, k1 long, k2 long, k3 long, p2 long, p3 long, key long, word string, a long, b long, bits long"
 
@@ -70,20 +70,22 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = _SCHEMA.names[:15]
     held: list[str] = []
     hashes: list[int] = []
+    size = 0
     for b in batches:
         rows = []
         for i, s, t in zip(*(b.column(c).to_pylist() for c in ("doc_id", "source", "text"))):
             h = text_hash(t)
             held.append(t)
             hashes.append(h)
+            size += len(t)
+            if size >= TOGETHER:
+                yield from _statistics(held, hashes)
+                held, hashes, size = [], [], 0
             e = ending(t)
             k = e["keys"] if e else [0] * (2 * ORDER - 1)
             rows.append((i, s, _signed(h), len(t), len(t.encode("utf-8", "replace")), e is not None, bool(e and e["marked"]), bool(e and e["sure"]), bool(e and e["path"]), e["last"] if e else "", *k))
         if rows:
             yield _batch(dict(zip(names, zip(*rows))))
-        if len(held) >= TOGETHER:
-            yield from _statistics(held, hashes)
-            held, hashes = [], []
     yield from _statistics(held, hashes)
 
 
