@@ -31,7 +31,7 @@ def p6_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, item_id) of documents that contain a passage of a held-out item."""
-    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), Scratch(spark, "leakage"))
 
 
 def p8_items(spark: SparkSession, d: str) -> DataFrame:

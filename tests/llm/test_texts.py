@@ -158,17 +158,58 @@ def test_leaks(spark):
         (7, '{"t": "' + scen[4].replace(". ", ".\\n") + '"}', "s", 0, ""), (8, None, "s", 0, ""), (9, "", "s", 0, ""), (10, "filler words here " * 400 + half(5) + " tail words" * 400, "s", 0, ""), (1, f"Intro. {items[0][1]} End.", "s", 0, ""),
         (11, scen[6].replace("complaint", "com-\nplaint").replace(" the ", "\n> the "), "s", 0, ""),
     ]
-    got = rows(leakage.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items + [(None, "x", 0), (99, None, 0)], ITEMS)))
+    got = rows(leakage.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items + [(None, "x", 0), (99, None, 0)], ITEMS), Scratch(spark, "t")))
     assert got == {(1, 0), (2, 1), (3, 2), (7, 4), (10, 5), (11, 6)}
-    assert leakage.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame([], ITEMS)).count() == 0
-    assert leakage.leaks(spark.createDataFrame([], DOCS), spark.createDataFrame(items, ITEMS)).count() == 0
+    assert leakage.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame([], ITEMS), Scratch(spark, "t")).count() == 0
+    assert leakage.leaks(spark.createDataFrame([], DOCS), spark.createDataFrame(items, ITEMS), Scratch(spark, "t")).count() == 0
 
 
-def test_leaks_without_broadcast(spark, data, monkeypatch):
+def test_leaks_with_a_full_filter(spark, data, monkeypatch):
+    """However small the filter, its errors fall out of the join."""
     docs, items = table(spark, data, "documents"), table(spark, data, "eval_items")
-    a = rows(leakage.leaks(docs, items))
-    monkeypatch.setattr(leakage, "MOST_KEYS", 0)
-    assert rows(leakage.leaks(docs, items)) == a
+    a = rows(leakage.leaks(docs, items, Scratch(spark, "t")))
+    monkeypatch.setattr(leakage, "MOST_BITS", 1024)
+    assert rows(leakage.leaks(docs, items, Scratch(spark, "t"))) == a
+
+
+def test_leaks_of_equal_items(spark):
+    """Two ids of one text, and two items of one scenario under other instructions, are all named."""
+    items = make_items()
+    text = items[0][1]
+    other = (51, text.replace("Given the change set, list every component.", "Read the request and pick one."), 0)
+    fill = [(60 + i, items[10 + i][1].replace("Given the change set, list every component.", "Read the request and pick one."), 0) for i in range(5)]
+    docs = [(1, " ".join(text.split(". ")[1:4]), "s", 0, "")]
+    assert rows(leakage.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame([*items, (50, text, 0)], ITEMS), Scratch(spark, "t"))) == {(1, 0), (1, 50)}
+    few = [items[0], other, *items[1:9], *fill]
+    assert rows(leakage.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(few, ITEMS), Scratch(spark, "t"))) == {(1, 0), (1, 51)}
+
+
+def test_leaks_in_other_scripts(spark):
+    rnd = random.Random(3)
+    han = lambda: "".join(chr(rnd.randrange(0x4E00, 0x9FA0)) for _ in range(3))
+    zh = lambda: f"在第{rnd.randrange(90)}次迭代中，{han()}组用{han()}模块替换了旧的{han()}表，因此{han()}任务必须在{han()}之前重新运行。"
+    name = lambda: "".join(rnd.choice(["grün", "weiß", "süd", "öst", "mühl", "fähr", "käu", "stra"]) for _ in range(3))
+    de = lambda: f"Während des Laufs {rnd.randrange(90)} prüfte die Gruppe {name()} alle {rnd.randrange(500)} Verträge der Straße {name()} und löschte danach die größte Übersicht für {name()} {rnd.randrange(900)}."
+    items = [(i, "请列出所有受影响的组件。" + zh() + zh() + "接下来应该做什么？", 0) for i in range(10)] + [(100 + i, "Nenne alle Teile. " + de() + " " + de() + " Was nun?", 0) for i in range(10)]
+    docs = [(1, "说明：" + items[3][1][12:-9] + "完。", "s", 0, ""), (2, "Hinweis. " + items[14][1].replace("Nenne alle Teile. ", "").upper(), "s", 0, ""), (3, zh() + zh(), "s", 0, ""), (4, de() + de(), "s", 0, "")]
+    assert leakage.words_of("Größe für 中文") == ["grösse", "für", "中", "文"]
+    assert rows(leakage.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), Scratch(spark, "t"))) == {(1, 3), (2, 104)}
+
+
+def test_short_altered_passages(spark):
+    items = make_items()
+    scen = [" ".join(t.split(". ")[1:4]).split() for _, t, _ in items]
+    one, two, less = scen[1][2:22], scen[2][2:25], scen[3][2:20]
+    one[9], two[6], two[15] = "xxx", "yyy", "zzz"
+    docs = [(1, " ".join(one), "s", 0, ""), (2, "x " * 5000 + " ".join(two) + " y" * 5000, "s", 0, ""), (3, " ".join(less), "s", 0, "")]
+    assert rows(leakage.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), Scratch(spark, "t"))) == {(1, 1), (2, 2)}
+
+
+def test_passages_in_long_stretches():
+    item = [f"w{i % 37}" for i in range(90)]
+    doc = [f"v{i % 11}" for i in range(20_000)]
+    doc[15_000:15_040] = item[20:60]
+    assert leakage._passage_in(item, doc) == (40, 40, 1.0)
 
 
 def test_endings():
