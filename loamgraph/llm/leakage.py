@@ -311,7 +311,9 @@ def leaks(documents: DataFrame, items: DataFrame, scratch: Scratch) -> DataFrame
     near = scratch.cut(docs.mapInPandas(scan, "doc_id long, near string, hits array<struct<pos: int, key: long, doc_values: array<long>>>"))
     hits = near.select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.*")
     differs = F.size(F.filter(F.zip_with("doc_values", "item_values", lambda x, y: x != y), lambda v: v))
+    # written first, so that few pairs can be sent to the words instead of the words to the pairs
     pairs = hits.join(side, "key").filter(differs <= 1).groupBy("doc_id", "item_id").agg(F.countDistinct("pos").alias("n")).filter(F.col("n") >= LEAST_WINDOWS).select("doc_id", "item_id")
+    pairs = scratch.cut(pairs)
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
