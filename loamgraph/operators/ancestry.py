@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgraph.operators.hierarchy import forest
-from loamgraph.operators.intervals import chains
+from loamgraph.operators.newcommits import chains
 from loamgraph.sources.tables import Scratch
 
 

@@ -1,41 +1,39 @@
 """Processing only what is new: processed sequence numbers as disjoint intervals.
 
 ``merge`` and ``subtract`` are the interval algebra; ``Ledger`` keeps the
-processed intervals of record streams with the output they belong to;
-``new_commits`` numbers the commits of a history along chains and gives each
-completed run the gaps between what it reaches and what earlier runs covered.
+processed intervals of record streams with the output they belong to.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamgraph.functions.normal import sha_ref, strip_ws
-from loamgraph.operators.gitgraph import commit_nodes, resolve_refs
-from loamgraph.operators.hierarchy import _cycle_nodes, forest
-from loamgraph.operators.segments import chunked
+from loamgraph.operators.segments import Chunked, chunked
 from loamgraph.sources.tables import Scratch
 
 #: Sequence numbers a block: an interval meets records block by block, so no join key gets more.
 BLOCK = 4096
 
 
-def _sweep(events: DataFrame) -> DataFrame:
+def _sweep(events: DataFrame, hot_rows: int | None) -> DataFrame:
     """(stream, lo, hi) of the stretches with cover in a and none in b.
 
     ``events``: stream, pos, a, b, the changes of cover at pos.  Equal
-    positions are summed first, so the order within one can't matter.
+    positions are summed first, so the order within one can't matter.  Streams
+    with more than ``hot_rows`` events are scanned in chunks (None: no stream
+    can have so many).
     """
     e = events.groupBy("stream", "pos").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    w = Window.partitionBy("stream").orderBy("pos")
-    up_to = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    s = e.select("stream", "pos", ((F.sum("a").over(up_to) > 0) & (F.sum("b").over(up_to) == 0)).alias("on"))
-    s = s.withColumn("was", F.coalesce(F.lag("on").over(w), F.lit(False))).filter("`on` != was")
-    return s.withColumn("end", F.lead("pos").over(w)).filter("`on`").select("stream", F.col("pos").alias("lo"), (F.col("end") - 1).alias("hi"))
+    s = chunked(e, "stream", ["pos"], hot_rows) if hot_rows else Chunked(e.withColumns({"chunk": F.lit(0), "hot": F.lit(False)}), "stream", ["pos"], False)
+    s = s.running_sum("a").running_sum("b")
+    s = s.replaced(s.df.withColumn("on", (F.col("a") > 0) & (F.col("b") == 0))).neighbour(F.col("on"), "was")
+    s = s.replaced(s.df.filter(F.col("on") != F.coalesce("was", F.lit(False)))).neighbour(F.col("pos"), "end", after=True)
+    return s.df.filter("`on`").select("stream", F.col("pos").alias("lo"), (F.col("end") - 1).alias("hi"))
 
 
 def _edges(df: DataFrame, a: int, b: int) -> DataFrame:
@@ -43,14 +41,25 @@ def _edges(df: DataFrame, a: int, b: int) -> DataFrame:
     return df.select("stream", F.explode(F.array(F.struct(F.col("lo").alias("pos"), F.lit(a).alias("a"), F.lit(b).alias("b")), F.struct((F.col("hi") + 1).alias("pos"), F.lit(-a).alias("a"), F.lit(-b).alias("b")))).alias("e")).select("stream", "e.*")
 
 
-def merge(intervals: DataFrame) -> DataFrame:
+def merge(intervals: DataFrame, hot_rows: int | None = 1_000_000) -> DataFrame:
     """Disjoint, non-adjacent intervals with the same numbers; lo > hi or null is empty."""
-    return _sweep(_edges(intervals, 1, 0))
+    return _sweep(_edges(intervals, 1, 0), hot_rows)
 
 
-def subtract(available: DataFrame, processed: DataFrame) -> DataFrame:
+def subtract(available: DataFrame, processed: DataFrame, hot_rows: int | None = 1_000_000) -> DataFrame:
     """The gaps: numbers of ``available`` that ``processed`` lacks."""
-    return _sweep(_edges(available, 1, 0).unionByName(_edges(processed, 0, 1)))
+    return _sweep(_edges(available, 1, 0).unionByName(_edges(processed, 0, 1)), hot_rows)
+
+
+def numbers(records: DataFrame) -> DataFrame:
+    """(stream, lo, hi) of the numbers that records (stream, seq) have, disjoint, by block of numbers.
+
+    Repeats fall together before the shuffle, and islands are found block by
+    block, so a stream with a third of all records is many small groups.
+    """
+    one = records.select("stream", F.col("seq").cast("long").alias("seq")).distinct().withColumn("block", F.floor(F.col("seq") / BLOCK))
+    island = F.col("seq") - F.row_number().over(Window.partitionBy("stream", "block").orderBy("seq"))
+    return one.withColumn("island", island).groupBy("stream", "block", "island").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).select("stream", "lo", "hi")
 
 
 def within(records: DataFrame, intervals: DataFrame) -> DataFrame:
@@ -63,37 +72,120 @@ def within(records: DataFrame, intervals: DataFrame) -> DataFrame:
     return records.withColumn("_block", F.floor(F.col("seq") / BLOCK)).join(cut, ["stream", "_block"]).filter("seq between lo and hi").drop("_block", "lo", "hi")
 
 
+class Conflict(Exception):
+    """Another run committed first."""
+
+
+class State:
+    """What a committed version holds, and what a run writes for the next one."""
+
+    def __init__(self, ledger: Ledger, number: int, name: str, parts: dict[str, list[str]]) -> None:
+        self.ledger, self.number, self.name, self.parts = ledger, number, name, parts
+
+    def table(self, name: str, schema: str) -> DataFrame:
+        """A table of the version; empty if there is none."""
+        paths = self.parts.get(name, [])
+        if not paths:
+            return self.ledger.spark.createDataFrame([], schema)
+        return self.ledger.spark.read.schema(schema).parquet(*paths)
+
+    def replace(self, name: str, df: DataFrame) -> None:
+        path = f"{self.ledger.path}/state/{name}/{self.name}"
+        df.write.parquet(path)
+        self.parts[name] = [path]
+
+    def append(self, name: str, df: DataFrame, schema: str) -> None:
+        """Adds rows as a part of their own; when there are many parts they become one."""
+        path = f"{self.ledger.path}/state/{name}/{self.name}"
+        before = self.parts.get(name, [])
+        if len(before) >= Ledger.PARTS:
+            df = self.table(name, schema).unionByName(df)
+            before = []
+        df.write.parquet(path)
+        self.parts[name] = [*before, path]
+
+    def emit(self, df: DataFrame) -> None:
+        """The run's output."""
+        df.write.parquet(f"{self.ledger.path}/output/version={self.name}")
+
+
 class Ledger:
     """Processed intervals and the output they stand for, committed together.
 
-    A run writes its output and the merged intervals beside the current ones
-    and then moves the pointer file onto its version, in one rename.  A run
-    that ends before the rename has changed nothing: its numbers are still
-    gaps and its output is not listed.  Late records fill gaps of any age.
+    A run reads the latest version, writes its output and the new state beside
+    it, and commits by creating the file of the next version's number, which
+    only one run can do: the file is written under another name and renamed
+    without overwriting.  A run that fails before has changed nothing: its
+    numbers are still gaps and its output is not listed.  A run that finds the
+    number taken removes what it wrote and starts again from the new version,
+    so two runs at once give nothing twice and lose nothing.  Late records fill
+    gaps of any age.
+
+    The file system's rename must fail where the target exists (HDFS, local
+    and shared file systems do).
     """
 
+    #: Parts of a table, at most.
+    PARTS = 16
+
     def __init__(self, spark, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def versions(self) -> list[str]:
-        """The committed versions, oldest first."""
-        p = self._path(f"{self.path}/current")
-        if not self._fs.exists(p):
-            return []
-        return [r.value for r in self.spark.read.text(str(p.toString())).collect() if r.value]
+    def _commit_file(self, number: int) -> str:
+        return f"{self.path}/commits/{number:012d}.json"
+
+    def latest(self) -> int:
+        """The number of the latest version, 0 before the first; found by halving, without a listing."""
+        there = lambda n: self._fs.exists(self._path(self._commit_file(n)))
+        high = 1
+        while there(high):
+            high *= 2
+        low = high // 2
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (mid, high) if there(mid) else (low, mid)
+        return low
+
+    def state(self) -> State:
+        """The latest version, to be read and to write the next one from."""
+        number, parts = self.latest(), {}
+        if number:
+            parts = json.loads(self.spark.read.text(self._commit_file(number), wholetext=True).first()[0])["parts"]
+        return State(self, number, f"{number + 1:012d}-{uuid.uuid4().hex}", parts)
 
     def processed(self) -> DataFrame:
-        done = self.versions()
-        if not done:
-            return self.spark.createDataFrame([], "stream string, lo long, hi long")
-        return self.spark.read.schema("stream string, lo long, hi long").parquet(f"{self.path}/intervals/{done[-1]}")
+        return self.state().table("intervals", "stream string, lo long, hi long")
 
     def output(self) -> DataFrame | None:
-        done = self.versions()
-        return self.spark.read.parquet(*[f"{self.path}/output/{v}" for v in done]) if done else None
+        """The rows of all committed versions, by a join with their names; what failed runs left is not among them."""
+        if not self.latest():
+            return None
+        names = self.spark.read.schema("name string").json(f"{self.path}/commits/*.json").select(F.col("name").alias("version"))
+        rows = self.spark.read.parquet(f"{self.path}/output")
+        return rows.join(names, "version", "left_semi").drop("version")
+
+    def transact(self, step: Callable[[State], bool]) -> bool:
+        """Runs ``step`` on the latest version and commits, anew until no other run comes between.
+
+        ``step`` writes tables and emits output, or gives False if there is
+        nothing to do.
+        """
+        while True:
+            state = self.state()
+            try:
+                if not step(state):
+                    self._discard(state)
+                    return False
+                self._commit(state)
+                return True
+            except Conflict:
+                self._discard(state)
+            except BaseException:
+                self._discard(state)
+                raise
 
     def run(self, records: DataFrame, step: Callable[[DataFrame], DataFrame] = lambda df: df) -> int:
         """Processes the records (stream, seq, ...) that are new; gives the number of new intervals.
@@ -101,101 +193,42 @@ class Ledger:
         One record a sequence number counts: repeats of a number that comes in
         one delivery are processed together, later repeats not again.
         """
-        seen = records.filter("stream is not null and seq is not null").select("stream", F.col("seq").cast("long").alias("lo"), F.col("seq").cast("long").alias("hi")).distinct()
-        done = self.processed()
-        version = f"{len(self.versions()):08d}-{uuid.uuid4().hex}"
-        gaps_at = f"{self.path}/gaps/{version}"
-        subtract(merge(seen), done).write.parquet(gaps_at)
-        gaps = self.spark.read.parquet(gaps_at)
-        n = gaps.count()
-        if n:
-            step(within(records, gaps)).write.parquet(f"{self.path}/output/{version}")
-            merge(done.unionByName(gaps)).write.parquet(f"{self.path}/intervals/{version}")
-            self._publish([*self.versions(), version])
-        self._fs.delete(self._path(gaps_at), True)
-        return n
-
-    def _publish(self, names: list[str]) -> None:
-        new = self._path(f"{self.path}/current.{uuid.uuid4().hex}")
+        found = 0
+
+        def once(state: State) -> bool:
+            nonlocal found
+            scratch = Scratch(self.spark, "ledger")
+            done = state.table("intervals", "stream string, lo long, hi long")
+            gaps = scratch.cut(subtract(numbers(records.filter("stream is not null and seq is not null")), done))
+            found = gaps.count()
+            if found:
+                state.emit(step(within(records, gaps)))
+                state.replace("intervals", merge(done.unionByName(gaps)))
+            scratch.close()
+            return found > 0
+
+        self.transact(once)
+        return found
+
+    def _commit(self, state: State) -> None:
+        new = self._path(f"{self.path}/commits/.{uuid.uuid4().hex}")
         out = self._fs.create(new, True)
-        out.write(bytearray("\n".join(names).encode()))
+        out.write(bytearray(json.dumps({"name": state.name, "parts": state.parts}).encode()))
         out.close()
-        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri() if new.toUri().getScheme() else self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
-        option = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        to = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        to[0] = option
-        context.rename(new, self._path(f"{self.path}/current"), to)
-
-
-def latest_runs(runs: DataFrame) -> DataFrame:
-    """One row a run_id, from the greatest updated_at: source_id, state, finished_at, ref.
-
-    Equal rows are one; ties take the greater remaining fields.
-    """
-    m = F.max(F.struct("updated_at", F.upper(strip_ws(F.col("status"))).alias("state"), "finished_at", sha_ref(F.col("head_after")).alias("ref"), "source_id")).alias("m")
-    return runs.filter("run_id is not null").groupBy("run_id").agg(m).select("run_id", "m.*")
-
-
-def chains(nodes: DataFrame, scratch: Scratch, whole: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Sequence numbers along chains.
-
-    Each node continues the chain of its parent if it is the child with the
-    largest subtree there (then the greatest id), so that any path to a root
-    meets at most log2(n) chains; other children start chains.  A cycle is cut
-    before its smallest node.  Results: (id, chain, seq) and, by chain,
-    (chain, up_chain, up_seq): where the chain's first node hangs.  ``whole``:
-    id, parent and what ``forest`` with sizes gives, if that is at hand.
-    """
-    if whole is None:
-        whole = scratch.cut(nodes.select("id", "parent").join(forest(nodes.select("id", "parent"), scratch, sizes=True), "id"))
-    cyclic = whole.filter("on_cycle = 1").select("id", "parent")
-    cuts = _smallest_on_cycle(cyclic, scratch)
-    links = whole.join(cuts.withColumn("cut", F.lit(True)), "id", "left")
-    heavy = links.filter("parent is not null and cut is null").groupBy("parent").agg(F.max(F.struct("on_cycle", "size", "id")).alias("m")).select("parent", F.col("m.id").alias("heavy"))
-    linked = links.select("id", "parent", "cut").join(heavy, "parent", "left")
-    goes_on = (F.col("heavy") == F.col("id")) & F.col("cut").isNull()
-    linked = scratch.cut(linked.select("id", "parent", F.when(goes_on, F.col("parent")).alias("before")))
-    numbered = scratch.cut(forest(linked.select("id", F.col("before").alias("parent")), scratch).select("id", F.col("root_id").alias("chain"), F.col("node_depth").alias("seq")))
-    hang = linked.filter("before is null and parent is not null").select(F.col("id").alias("chain"), "parent")
-    ups = hang.join(numbered.select(F.col("id").alias("parent"), F.col("chain").alias("up_chain"), F.col("seq").alias("up_seq")), "parent").drop("parent")
-    return numbered, scratch.cut(ups)
-
-
-def _smallest_on_cycle(cyclic: DataFrame, scratch: Scratch) -> DataFrame:
-    """The smallest id of each cycle, by doubling jumps around it."""
-    s = scratch.cut(cyclic.select("id", F.col("parent").alias("ptr"), F.least("id", "parent").alias("low")))
-    n, reach = s.count(), 1
-    while reach < n:
-        s = scratch.cut(s.join(s.select(F.col("id").alias("ptr"), F.col("ptr").alias("up"), F.col("low").alias("up_low")), "ptr").select("id", F.col("up").alias("ptr"), F.least("low", "up_low").alias("low")))
-        reach *= 2
-    return s.filter("id = low").select("id")
-
-
-def new_commits(runs: DataFrame, commits: DataFrame, scratch: Scratch, hot_rows: int = 1_000_000) -> DataFrame:
-    """(run_id, sha): for each COMPLETED run the commits that no earlier one reached.
-
-    A run reaches its head_after and the ancestors of it: by chain, the
-    numbers 0 to some seq.  What runs with an earlier finished_at cover of a
-    chain is one merged interval from 0, so its end is a running maximum, and
-    a run's new numbers are the gap behind it.  Runs that end at the same
-    instant both get what neither had before.  A null finished_at counts as
-    later than all.  Runs without a known head give nothing and cover nothing.
-    """
-    nodes = scratch.cut(commit_nodes(commits))
-    numbered, ups = chains(nodes.select("id", "parent"), scratch)
-    done = latest_runs(runs).filter("state = 'COMPLETED'")
-    heads = resolve_refs(done, nodes.select(F.col("id").alias("sha"), "source_id")).groupBy("run_id").agg(F.min(F.struct("found", "finished_at")).alias("m")).select("run_id", F.col("m.found").alias("id"), F.coalesce(F.unix_micros(F.col("m.finished_at").cast("timestamp")), F.lit(2**62)).alias("at"))
-    reach = scratch.cut(heads.join(numbered, "id").select("run_id", "at", "chain", "seq"))
-    news = reach
-    while True:
-        more = news.join(ups, "chain").groupBy("run_id", "at", F.col("up_chain").alias("chain")).agg(F.max("up_seq").alias("seq"))
-        known = reach.select("run_id", "chain", F.col("seq").alias("had"))
-        news = scratch.cut(more.join(known, ["run_id", "chain"], "left").filter("had is null or seq > had").select("run_id", "at", "chain", "seq"))
-        if news.isEmpty():
-            break
-        reach = scratch.cut(reach.unionByName(news).groupBy("run_id", "at", "chain").agg(F.max("seq").alias("seq")))
-    ends = reach.groupBy("chain", "at").agg(F.max("seq").alias("end"))
-    before = chunked(ends, "chain", ["at"], hot_rows).running_max_before("end", "covered").df.select("chain", "at", F.coalesce("covered", F.lit(-1)).alias("covered"))
-    gaps = reach.join(before, ["chain", "at"]).filter("seq > covered").select("run_id", F.col("chain").alias("stream"), (F.col("covered") + 1).alias("lo"), F.col("seq").alias("hi"))
-    records = numbered.select(F.col("chain").alias("stream"), "seq", F.col("id").alias("sha"))
-    return within(records, gaps).select("run_id", "sha")
+        jvm = self.spark._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        option = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        option[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        try:
+            context.rename(new, self._path(self._commit_file(state.number + 1)), option)
+        except Exception as e:
+            self._fs.delete(new, False)
+            if self._fs.exists(self._path(self._commit_file(state.number + 1))):
+                raise Conflict from e
+            raise
+
+    def _discard(self, state: State) -> None:
+        self._fs.delete(self._path(f"{self.path}/output/version={state.name}"), True)
+        for paths in state.parts.values():
+            if paths and paths[-1].endswith(state.name):
+                self._fs.delete(self._path(paths[-1]), True)

@@ -72,6 +72,17 @@ class Chunked:
             best = F.greatest(best, "_m")
         return self.replaced(df.withColumn(name, best).drop("_m"))
 
+    def running_sum(self, col: str) -> Chunked:
+        """Replaces the column by its sum up to the row."""
+        w = self.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        df, total = self.df, F.sum(col).over(w)
+        if self.any_hot:
+            per = self.df.filter("hot").groupBy(self.key, "chunk").agg(F.sum(col).alias("_t"))
+            wk = Window.partitionBy(self.key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+            df = df.join(per.select(self.key, "chunk", F.sum("_t").over(wk).alias("_t")), [self.key, "chunk"], "left")
+            total = total + F.coalesce("_t", F.lit(0))
+        return self.replaced(df.withColumn(col, total).drop("_t"))
+
 
 def chunked(df: DataFrame, key: str, order: list[str], hot_rows: int = 1_000_000, splits: int | None = None) -> Chunked:
     """Cuts groups with more than ``hot_rows`` rows and more than total/splits.

@@ -10,14 +10,14 @@ from loamgraph.operators.ancestry import ancestry
 from loamgraph.operators.gitgraph import commit_nodes
 from loamgraph.operators.hierarchy import closure, forest
 from loamgraph.operators.history import versions
-from loamgraph.operators.intervals import new_commits
+from loamgraph.operators.newcommits import new_commits
 from loamgraph.operators.snapshot_diff import diff
 from loamgraph.sources.tables import Scratch, table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """(run_id, sha) of commits that are new in each completed run."""
-    return new_commits(table(spark, d, "ingestion_runs"), table(spark, d, "commits"), Scratch(spark, "new-commits"))
+    """(run_id, sha) of commits that are new in each completed run: the output of a ledger that starts empty."""
+    return new_commits(table(spark, d, "ingestion_runs"), table(spark, d, "commits"), Scratch(spark, "commit-ledger").folder())
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

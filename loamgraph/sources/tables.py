@@ -41,11 +41,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests in one process) a temporary folder
-    is made, which ends with the process.
+    Only where the session has none and runs on this machine alone (tests) a
+    temporary folder is made, which ends with the process; on a cluster that
+    has none, an error says so, since a folder of one machine can't be read by
+    the others.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local"):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master!r} share")
         found = tempfile.mkdtemp(prefix="shared-")
         atexit.register(shutil.rmtree, found, True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -77,6 +82,11 @@ class Scratch:
         self._last = out
         return out
 
+    def folder(self) -> str:
+        """A folder of its own, for what is written by other means; it ends with the rest."""
+        self.n += 1
+        return f"{self.base}/{self.n}"
+
     def drop(self, df: DataFrame | None) -> None:
         path = self.paths.pop(id(df), None) if df is not None else None
         if path:

@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from loamgraph.operators import history, intervals, snapshot_diff
 from loamgraph.operators.ancestry import ancestry
 from loamgraph.operators.hierarchy import closure, forest
+from loamgraph.operators.newcommits import CommitLedger, new_commits
 from loamgraph.plans import problems
 from loamgraph.sources.tables import Scratch, table
 
@@ -62,14 +63,14 @@ def random_history(seed, n=60):
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_new_commits_random(spark, seed):
     commits, runs = random_history(seed)
-    got = rows(intervals.new_commits(spark.createDataFrame(runs, RUNS), spark.createDataFrame(commits, COMMITS), Scratch(spark, "t"), hot_rows=2))
+    got = rows(new_commits(spark.createDataFrame(runs, RUNS), spark.createDataFrame(commits, COMMITS), Scratch(spark, "t").folder(), hot_rows=2))
     runs_d, commits_d = dicts(runs, RUNS), dicts(commits, COMMITS)
     assert got == brute.p2(runs_d, commits_d)
 
 
 def test_empty_tables(spark):
     commits, runs = spark.createDataFrame([], COMMITS), spark.createDataFrame([], RUNS)
-    assert intervals.new_commits(runs, commits, Scratch(spark, "t")).count() == 0
+    assert new_commits(runs, commits, Scratch(spark, "t").folder()).count() == 0
     assert snapshot_diff.diff(spark.createDataFrame([], SNAPS), spark.createDataFrame([], ENTS)).count() == 0
     assert history.versions(spark.createDataFrame([], CHANGES)).count() == 0
     assert forest(spark.createDataFrame([], "id string, parent string"), Scratch(spark, "t")).count() == 0
@@ -188,7 +189,7 @@ def test_ledger_survives_failures(spark, tmp_path):
     first = [("a", 1), ("a", 2), ("b", 7), ("a", 2)]
     with pytest.raises(RuntimeError):
         led.run(recs(first), boom)
-    assert led.versions() == [] and led.output() is None
+    assert led.latest() == 0 and led.output() is None
     assert led.run(recs(first)) == 2
     late = [*first, ("a", 9), ("a", 5), ("b", 3)]
     with pytest.raises(RuntimeError):
@@ -199,6 +200,98 @@ def test_ledger_survives_failures(spark, tmp_path):
     assert rows(led.processed()) == {("a", 1, 2), ("a", 5, 5), ("a", 9, 9), ("b", 3, 3), ("b", 7, 7)}
 
 
+def test_ledger_runs_at_once(spark, tmp_path):
+    """A run that another one overtakes starts anew, and gives nothing twice."""
+    recs = lambda v: spark.createDataFrame([("a", n) for n in v], "stream string, seq long")
+    one, other = intervals.Ledger(spark, str(tmp_path / "l")), intervals.Ledger(spark, str(tmp_path / "l"))
+    one.run(recs([1]))
+    late = []
+
+    def overtaken(df):
+        if not late:
+            late.append(other.run(recs([1, 2, 3])))
+        return df
+
+    assert one.run(recs([2, 3, 4]), overtaken) == 1 and late == [1]
+    assert sorted(r.seq for r in one.output().collect()) == [1, 2, 3, 4] and one.latest() == 3
+    assert rows(other.processed()) == {("a", 1, 4)}
+    assert len(list((tmp_path / "l" / "output").glob("version=*"))) == 3
+
+
+def test_numbers_and_hot_streams(spark):
+    recs = spark.createDataFrame([("a", n) for n in [*range(0, 9000), 9005, 9005, 9006]] + [("b", 3)], "stream string, seq long")
+    got = intervals.numbers(recs)
+    assert got.count() == 5 and rows(intervals.merge(got)) == rows(intervals.merge(got, 2)) == {("a", 0, 8999), ("a", 9005, 9006), ("b", 3, 3)}
+    odd = spark.createDataFrame([("a", 2 * n, 2 * n) for n in range(200)] + [("b", 1, 5)], "stream string, lo long, hi long")
+    every = spark.createDataFrame([("a", 0, 399), ("b", 4, 9)], "stream string, lo long, hi long")
+    want = {("a", 2 * n + 1, 2 * n + 1) for n in range(200)} | {("b", 6, 9)}
+    assert rows(intervals.subtract(every, odd, 10)) == rows(intervals.subtract(every, odd)) == want
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_commit_ledger_in_deliveries(spark, tmp_path, seed):
+    """Commits and runs in any order and pieces: nothing lost, nothing twice; in order it equals the whole."""
+    commits, runs = random_history(seed)
+    frame = lambda c, r: (spark.createDataFrame(r, RUNS), spark.createDataFrame(c, COMMITS))
+    want = brute.p2(dicts(runs, RUNS), dicts(commits, COMMITS))
+    whole = CommitLedger(spark, str(tmp_path / "whole"))
+    whole.process(*frame(commits, runs))
+    assert rows(whole.output()) == want
+    rnd = random.Random(seed)
+    mixed = CommitLedger(spark, str(tmp_path / "mixed"), hot_rows=5)
+    shuffled = rnd.sample(commits, len(commits))
+    for share in (0.5, 1):
+        mixed.process(*frame(shuffled[: int(share * len(commits))], rnd.sample(runs, int(share * len(runs)))))
+    got = [tuple(r) for r in mixed.output().collect()]
+    assert {s for _, s in got} == {s for _, s in want}
+    ended = {r["run_id"]: r["finished_at"] for r in dicts(runs, RUNS)}
+    assert all(len({ended[r] for r, s in got if s == sha}) == 1 for sha in {s for _, s in got}) and len(set(got)) == len(got)
+    mixed.process(*frame(commits, runs))
+    assert sorted(tuple(r) for r in mixed.output().collect()) == sorted(got)
+
+
+def test_commit_ledger_appends(spark, tmp_path):
+    """A line of commits that grows is numbered at its end only, and each run gets what came since the last."""
+    ids = [f"{i:040x}" for i in range(1, 60)]
+    line = [(s, ids[i - 1] if i else None, "a", at(i), "x") for i, s in enumerate(ids)]
+    side = [(f"{i:040x}", ids[10] if i == 900 else f"{i - 1:040x}", "a", at(i), "x") for i in range(900, 905)]
+    led, runs, have = CommitLedger(spark, str(tmp_path / "l")), [], []
+    for k, (upto, extra) in enumerate([(20, []), (35, side), (35, []), (59, [])]):
+        have = line[:upto] + side * bool(extra or k > 1)
+        runs.append((f"r{k}", "a", "COMPLETED", at(1000 + k), ids[upto - 1] if k != 2 else side[-1][0], at(1000 + k), 1))
+        led.process(spark.createDataFrame(runs, RUNS), spark.createDataFrame(have, COMMITS))
+        state = led.ledger.state()
+        assert len(state.parts["nodes"]) == (1, 2, 2, 3)[k] and state.table("nodes", "id string").distinct().count() == len(have)
+    got = rows(led.output())
+    assert got == {("r0", s) for s in ids[:20]} | {("r1", s) for s in ids[20:35]} | {("r2", c[0]) for c in side} | {("r3", s) for s in ids[35:]}
+    assert spark.read.parquet(led.ledger.state().parts["nodes"][1]).count() == 20
+    assert led.ledger.processed().count() == 2
+
+
+def test_commit_ledger_survives_failures(spark, tmp_path, monkeypatch):
+    commits, runs = random_history(9, 30)
+    frames = spark.createDataFrame(runs, RUNS), spark.createDataFrame(commits, COMMITS)
+    led = CommitLedger(spark, str(tmp_path / "l"))
+    monkeypatch.setattr(intervals.Ledger, "_commit", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        led.process(*frames)
+    monkeypatch.undo()
+    assert led.output().count() == 0
+    led.process(*frames)
+    assert rows(led.output()) == brute.p2(dicts(runs, RUNS), dicts(commits, COMMITS))
+
+
+def test_shared_folder_on_a_cluster():
+    from loamgraph.sources.tables import shared_dir
+
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda k, d: {"spark.master": "spark://host:7077"}.get(k, d))
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session)
+
+
 def test_extra_columns(spark, data):
     c = table(spark, data, "entity_changes")
     more = c.selectExpr("*", "1 as m", "2 as chunk", "'x' as hot", "3 as at", "4 as gone")
