@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgraph.operators.hierarchy import forest
+from loamgraph.operators.intervals import within
 from loamgraph.operators.newcommits import chains
 from loamgraph.sources.tables import Scratch
 
@@ -50,3 +51,16 @@ def ancestry(nodes: DataFrame, scratch: Scratch) -> DataFrame:
         reached = reached.unionByName(x)
     first = F.col("start") + F.col("head_size") - F.col("size")
     return sized.join(reached, "chain", "left").select("id", "root_id", "node_depth", "chain", "seq", F.concat("above", F.array(F.struct("chain", "seq"))).alias("path"), first.alias("first"), (first + F.col("size") - 1).alias("last"))
+
+
+def descendants(trees: DataFrame, ancestors: DataFrame) -> DataFrame:
+    """(ancestor_id, descendant_id, distance) of the nodes below ``ancestors`` (id), from what ``ancestry`` gives.
+
+    A node's descendants are one interval of its root's numbers, met block by
+    block, so a root with a third of all nodes is spread over its blocks.
+    Ancestors on or below a cycle have none.
+    """
+    asked = trees.filter("first is not null").join(ancestors.select("id").distinct(), "id")
+    ranges = asked.select(F.col("root_id").alias("stream"), (F.col("first") + 1).alias("lo"), F.col("last").alias("hi"), F.col("id").alias("ancestor_id"), F.col("node_depth").alias("top"))
+    below = trees.filter("first is not null").select(F.col("root_id").alias("stream"), F.col("first").alias("seq"), F.col("id").alias("descendant_id"), "node_depth")
+    return within(below, ranges).select("ancestor_id", "descendant_id", (F.col("node_depth") - F.col("top")).alias("distance"))

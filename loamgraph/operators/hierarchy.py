@@ -83,6 +83,29 @@ def forest(nodes: DataFrame, scratch: Scratch, sizes: bool = False) -> DataFrame
     return out.join(marks, "id", "left").withColumn("on_cycle", F.coalesce("on_cycle", F.lit(0).cast("long")))
 
 
+def levels(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """As ``forest``, level by level: the frontier starts with the roots and joins their children.
+
+    One job a level, so it is for shallow trees; ``forest`` takes the logarithm
+    of the depth.  What the frontier never reaches lies on or below a cycle.
+    """
+    links = scratch.cut(nodes.select("id", "parent"))
+    frontier = scratch.cut(links.filter("parent is null").select("id", F.col("id").alias("root_id"), F.lit(0).cast("long").alias("node_depth")))
+    reached = frontier
+    children = links.filter("parent is not null")
+    while not frontier.isEmpty():
+        up = frontier.select(F.col("id").alias("parent"), "root_id", (F.col("node_depth") + 1).alias("node_depth"))
+        frontier = scratch.cut(children.join(up, "parent").select("id", "root_id", "node_depth"))
+        reached = reached.unionByName(frontier)
+    lost = scratch.cut(children.join(reached.select("id"), "id", "left_anti"))
+    out = reached.withColumn("on_cycle", F.lit(0).cast("long"))
+    if lost.isEmpty():
+        return out
+    marks = _cycle_nodes(lost.select("id", F.col("parent").alias("ptr")), scratch).withColumn("on_cycle", F.lit(1).cast("long"))
+    bad = lost.join(marks, "id", "left").select("id", F.lit("").alias("root_id"), F.lit(-1).cast("long").alias("node_depth"), F.coalesce("on_cycle", F.lit(0).cast("long")).alias("on_cycle"))
+    return out.unionByName(bad)
+
+
 def _add_sizes(state: DataFrame) -> DataFrame:
     """Adds to each node the sizes collected by the nodes 2^k levels below it."""
     below = state.filter("ptr is not null").groupBy(F.col("ptr").alias("id")).agg(F.sum("size").alias("more"))

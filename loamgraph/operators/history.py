@@ -14,8 +14,9 @@ def versions(changes: DataFrame, hot_rows: int = 1_000_000, splits: int | None =
 
     Gaps and islands over changes in order of authored_at: the hash of the
     attributes is compared with that of the row before; a difference, or the
-    step from or to a deletion, starts an island, whose first instant is the
-    version's start and the next island's start its end (-1: still valid).
+    step from or to a deletion, marks a row, and the running sum of the marks
+    numbers the islands.  An island's least instant is the version's start and
+    the next island's start its end (-1: still valid).
 
     Of several rows of one entity and instant the greatest change_id counts; a
     null change_id is the smallest.  A null attribute keeps its last value,
@@ -36,9 +37,13 @@ def versions(changes: DataFrame, hot_rows: int = 1_000_000, splits: int | None =
     scan = scan.replaced(scan.df.withColumn("h", F.xxhash64(F.to_json(F.struct(*ATTRIBUTES)))))
     scan = scan.neighbour(F.struct("gone", "h"), "prev")
     mark = F.col("prev").isNull() | (F.col("prev.gone") != F.col("gone")) | (~F.col("gone") & (F.col("prev.h") != F.col("h")))
-    # a marked row is its island's minimum, so grouping by the running sum would give this row again
-    starts = scan.replaced(scan.df.filter(mark)).neighbour(F.struct(F.col("at").alias("at")), "nxt", after=True)
-    return starts.df.filter(~F.col("gone")).select("entity_key", F.col("at").alias("valid_from_us"), F.coalesce("nxt.at", F.lit(-1)).cast("long").alias("valid_to_us"), *ATTRIBUTES)
+    scan = scan.replaced(scan.df.withColumn("marked", mark).withColumn("island", F.col("marked").cast("long"))).running_sum("island")
+    # grouped within the chunks the windows already made, so nothing is shuffled again; an island that began
+    # in an earlier chunk has its marked row, and so its start, there
+    first = F.min(F.struct("at", "gone", *ATTRIBUTES)).alias("m")
+    islands = scan.df.groupBy("entity_key", "chunk", "hot", "island").agg(first, F.max("marked").alias("starts")).filter("starts").select("entity_key", "chunk", "hot", "m.*")
+    islands = scan.replaced(islands).neighbour(F.col("at"), "nxt", after=True).df
+    return islands.filter(~F.col("gone")).select("entity_key", F.col("at").alias("valid_from_us"), F.coalesce("nxt", F.lit(-1)).cast("long").alias("valid_to_us"), *ATTRIBUTES)
 
 
 ATTRIBUTES = ["status", "signature", "file_rel_path"]

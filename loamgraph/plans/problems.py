@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.functions.normal import clean_path, parent_path, strip_ws
-from loamgraph.operators.ancestry import ancestry
-from loamgraph.operators.gitgraph import commit_nodes
+from loamgraph.functions.normal import clean_path, parent_path, sha_ref, strip_ws
+from loamgraph.operators.ancestry import ancestry, descendants
+from loamgraph.operators.gitgraph import commit_nodes, resolve_refs
 from loamgraph.operators.hierarchy import closure, forest
 from loamgraph.operators.history import versions
 from loamgraph.operators.newcommits import new_commits
@@ -75,7 +75,17 @@ def p5_commit_trees(spark: SparkSession, d: str) -> DataFrame:
     return ancestry(commit_nodes(table(spark, d, "commits")), Scratch(spark, "commit-trees")).withColumnRenamed("id", "node_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p5_paths, p5_descendants, p5_commit_trees, p5_subtree_sizes)}
+def p5_commit_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """(ancestor_id, descendant_id, distance): all commits below the heads of snapshots."""
+    nodes = commit_nodes(table(spark, d, "commits"))
+    scratch = Scratch(spark, "commit-descendants")
+    nodes = scratch.cut(nodes)
+    heads = table(spark, d, "project_snapshots").select("source_id", sha_ref(F.col("head")).alias("ref")).distinct()
+    asked = resolve_refs(heads, nodes.select(F.col("id").alias("sha"), "source_id")).groupBy("source_id", "ref").agg(F.min("found").alias("id"))
+    return descendants(scratch.cut(ancestry(nodes, scratch)), asked)
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p5_paths, p5_descendants, p5_commit_trees, p5_commit_descendants, p5_subtree_sizes)}
 
 _ONE = """one as (select sha, source_id, parent_ref from (select sha, source_id, nullif(regexp_replace(lower(regexp_replace(parent_sha, '^\\s+|\\s+$', '', 'g')), '^0+$', ''), '') as parent_ref, row_number() over (partition by sha order by recorded_at desc nulls last, nullif(regexp_replace(lower(regexp_replace(parent_sha, '^\\s+|\\s+$', '', 'g')), '^0+$', ''), '') desc nulls last, source_id desc) as rn from commits where sha is not null) where rn = 1),
 par as (select c.sha as id, min(p.sha) as parent from one c left join one p on p.source_id = c.source_id and left(p.sha, 10) = left(c.parent_ref, 10) and (p.sha = c.parent_ref or (length(c.parent_ref) between 10 and 39 and starts_with(p.sha, c.parent_ref))) group by c.sha)"""
@@ -109,6 +119,10 @@ select l.k, l.id, '', cast(-1 as bigint), cast(exists (select 1 from walk w wher
 select id as node_id, root_id, cast(node_depth as bigint) as node_depth, full_path from down""",
     "p5_descendants": f"""with recursive {_ENT}, pairs(a, d, n) as (select parent, id, 1 from epar where parent is not null union all select e.parent, p.d, p.n + 1 from pairs p join epar e on e.id = p.a where e.parent is not null)
 select a as ancestor_id, d as descendant_id, cast(n as bigint) as distance from pairs""",
+    "p5_commit_descendants": f"""with recursive {_ONE}, h as (select distinct source_id, nullif(regexp_replace(lower(regexp_replace(head, '^\\s+|\\s+$', '', 'g')), '^0+$', ''), '') as ref from project_snapshots),
+a as (select distinct min(c.sha) as id from h join one c on c.source_id = h.source_id and left(c.sha, 10) = left(h.ref, 10) and (c.sha = h.ref or (length(h.ref) between 10 and 39 and starts_with(c.sha, h.ref))) group by h.source_id, h.ref),
+up(id) as (select id from par where parent is null union all select n.id from up join par n on n.parent = up.id), down(a, d, n) as (select id, id, 0 from a where id in (select id from up) union all select w.a, p.id, w.n + 1 from down w join par p on p.parent = w.d)
+select a as ancestor_id, d as descendant_id, cast(n as bigint) as distance from down where n > 0""",
     "p5_subtree_sizes": f"""with recursive {_ONE}, down(id) as (select id from par where parent is null union all select n.id from down d join par n on n.parent = d.id), up(a, d) as (select id, id from down union all select p.parent, u.d from up u join par p on p.id = u.a where p.parent is not null)
 select a as node_id, count(*) - 1 as descendants from up group by a""",
 }

@@ -10,8 +10,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from loamgraph.operators import history, intervals, snapshot_diff
-from loamgraph.operators.ancestry import ancestry
-from loamgraph.operators.hierarchy import closure, forest
+from loamgraph.operators.ancestry import ancestry, descendants
+from loamgraph.operators.hierarchy import closure, forest, levels
 from loamgraph.operators.newcommits import CommitLedger, new_commits
 from loamgraph.plans import problems
 from loamgraph.sources.tables import Scratch, table
@@ -118,7 +118,8 @@ def test_forest_and_closure(spark):
     links = [("a", None), ("b", "a"), ("c", "b"), ("d", "a"), ("x", "y"), ("y", "z"), ("z", "y"), ("q", "q"), ("w", "x")]
     n = spark.createDataFrame(links, "id string, parent string")
     got = {r.id: (r.root_id, r.node_depth, r.on_cycle) for r in forest(n, Scratch(spark, "t")).collect()}
-    assert got == brute.tree(dict(links))
+    assert got == brute.tree(dict(links)) == {r.id: (r.root_id, r.node_depth, r.on_cycle) for r in levels(n, Scratch(spark, "t")).collect()}
+    assert levels(n.limit(0), Scratch(spark, "t")).count() == 0
     sizes = {r.id: r.size for r in forest(n, Scratch(spark, "t"), sizes=True).collect() if r.node_depth >= 0}
     assert sizes == {"a": 4, "b": 2, "c": 1, "d": 1}
     p, pairs = closure(n.selectExpr("id", "parent", "id as label"), Scratch(spark, "t"))
@@ -147,6 +148,8 @@ def test_commit_trees(spark, seed):
         below |= {(a, k, i) for i, a in enumerate(up) if i}
     whole = [r for r in got.values() if r.node_depth >= 0]
     assert {(a.id, b.id, b.node_depth - a.node_depth) for a in whole for b in whole if a.root_id == b.root_id and a.first < b.first <= a.last} == below
+    trees = Scratch(spark, "t").cut(ancestry(nodes, Scratch(spark, "t")))
+    assert rows(descendants(trees, nodes)) == below
     assert ancestry(nodes.limit(0), Scratch(spark, "t")).count() == 0
 
 
