@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 
-# Notices that generators and distributors put at the top of a file.
+# Notices that generators and distributors put at the top of a file, the seeds of what is mined.
 GENERATED_NOTICES = [
     r"@generated\b",
     r"<auto-?generated\b",
@@ -56,25 +56,54 @@ def leading(text: str) -> str:
         at = m.end()
 
 
+def _clean(head: str) -> str:
+    return "\n".join(re.sub(r"^(?:\s|//+|/\*+!?|\*+|#+|<!--)+|(?:\s|\*+/|-->)+$", "", x) for x in head.split("\n"))
+
+
+def notice(head: str) -> str | None:
+    """generated or vendored by the seeds: a generator's notice, or a distributor's with a version."""
+    clean = _clean(head)
+    if _GENERATED.search(clean):
+        return "generated"
+    return "vendored" if _VERSION.search(head) and _DISTRIBUTED.search(clean) else None
+
+
+#: Words of a phrase.
+PHRASE = 3
+_TERM = re.compile(r"@?[^\W\d_]+(?:['-][^\W\d_]+)*|\d[\w.:/-]*|[\w./-]+|[©<>]")
+
+
+def phrases(head: str) -> np.ndarray:
+    """Hashes of the runs of ``PHRASE`` words in the lines of leading comments; numbers, paths and names are kinds."""
+    import xxhash
+
+    out = set()
+    for line in _clean(head).split("\n"):
+        terms = ["^"]
+        for t in _TERM.findall(line):
+            terms.append("#" if t[0].isdigit() else "/" if "/" in t or "." in t else "~" if any(c.isupper() for c in t[1:]) and not t.isupper() or "_" in t else t.lower())
+        terms.append("$")
+        out.update(xxhash.xxh3_64_intdigest(" ".join(terms[i : i + PHRASE])) for i in range(len(terms) - PHRASE + 1) if sum(x[-1].isalpha() for x in terms[i : i + PHRASE]) >= 2)
+    return np.array(sorted(out), np.uint64).astype(np.int64)
+
+
 def kind(text: str | None, language: str | None) -> str | None:
-    """generated, minified, data or vendored by the text alone, else None.
+    """generated, minified, data or vendored by the text alone: by the seeds, else by its shape; else None."""
+    if not text or not text.strip():
+        return None
+    return notice(leading(text)) or shape(text, language)
 
-    * a generator's notice among the leading comments, its annotation, or a
-      compiler's prologue or map reference;
-    * a distributor's notice with a version there;
+
+def shape(text: str | None, language: str | None) -> str | None:
+    """generated, minified or data by what the text consists of, else None.
+
+    * a generator's annotation, or a compiler's prologue or map reference;
     * minified: little white space, short names, most characters in long lines;
     * data: nearly all characters are literals and their punctuation;
-    * generated by shape: lines of few shapes whose names are counted up.
+    * generated: lines of few shapes whose names are counted up.
     """
     if not text or not text.strip():
         return None
-    head = leading(text)
-    lines = [re.sub(r"^(?:\s|//+|/\*+!?|\*+|#+|<!--)+|(?:\s|\*+/|-->)+$", "", x) for x in head.split("\n")]
-    clean = "\n".join(lines)
-    if _GENERATED.search(clean):
-        return "generated"
-    if _VERSION.search(head) and _DISTRIBUTED.search(clean):
-        return "vendored"
     body = _ANY_COMMENT.sub(" ", text)
     if language in ("java", None) and _ANNOTATED.search(body) or language in ("javascript", "jsx", "typescript", "tsx", None) and _TRANSPILED.search(text):
         return "generated"

@@ -29,6 +29,11 @@ def p6_kinds(spark: SparkSession, d: str) -> DataFrame:
     return handwritten.found(table(spark, d, "source_files"), Scratch(spark, "handwritten"))
 
 
+def p6_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """(source, files, share) of the sources of evidence that decide over p6_found."""
+    return handwritten.shares(table(spark, d, "source_files"), Scratch(spark, "handwritten"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, item_id) of documents that contain a passage of a held-out item."""
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), Scratch(spark, "leakage"))
@@ -69,5 +74,5 @@ def p7_buckets(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(packing.length_buckets(histogram), "over long, up_to long, texts long, padding long")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p6_found, p6_kinds, p7_containers, p7_fill, p7_buckets, p8_found, p8_items, p9_found, p9_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p6_found, p6_kinds, p6_evidence, p7_containers, p7_fill, p7_buckets, p8_found, p8_items, p9_found, p9_rates)}
 ORACLE: dict[str, str] = {}

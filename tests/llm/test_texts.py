@@ -64,6 +64,28 @@ def test_handwritten(spark):
     assert handwritten.found(df.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_mined_notices(spark):
+    """What declared files say in their notice is carried over to sources that declare nothing, whatever the words."""
+    note = "// Emitted for {} through wireweaver stage {}, schema {}.xyz\n"
+    f = lambda i, p, path, text: (i, p, f"s{p}", f"s{p}/{path}", None, text, 1, "x")
+    data = [f(1000 + p, f"P{p}", ".gitattributes", f"out/* linguist-generated\nplain{p} text\n") for p in range(3)]
+    data += [f(10 * p + k, f"P{p}", f"out/f{k}.js", note.format("Kiosk", k, f"a/b{k}") + hand(100 + 10 * p + k)) for p in range(3) for k in range(3)]
+    data += [f(500, "P9", "lib/q.js", note.format("Depot", 77, "c/d") + hand(500)), f(501, "P9", "lib/r.js", "// Emitted rows are kept for the audit.\n" + hand(501)), f(502, "P9", "lib/s.js", hand(502) + note.format("Depot", 7, "c/d"))]
+    df = spark.createDataFrame(data, FILES)
+    got = rows(handwritten.found(df, Scratch(spark, "t")))
+    assert got == {(10 * p + k, "generated") for p in range(3) for k in range(3)} | {(500, "generated")}
+    assert {(r.source, r.files) for r in handwritten.shares(df, Scratch(spark, "t")).collect()} == {("declared", 9), ("notice", 1)}
+    # one project alone confirms nothing
+    assert {r.file_id for r in handwritten.found(df.filter("project_key in ('P0', 'P9')"), Scratch(spark, "t")).collect()} == {0, 1, 2}
+
+
+def test_runs_of_declared_files(spark):
+    """A copy of a declared file is one in its own project too, at any depth of attribute files."""
+    f = lambda i, path, text: (i, "P", "s", f"s/{path}", None, text, 1, "x")
+    data = [f(1, ".gitattributes", "*.gen.js linguist-vendored\na/** linguist-vendored"), f(2, "a/.gitattributes", "b/* -linguist-vendored"), f(3, "a/b/.gitattributes", "c.js linguist-vendored"), f(4, "a/x.js", hand(1)), f(5, "a/b/d.js", hand(2)), f(6, "a/b/c.js", hand(3)), f(7, "z/copy.js", "// ours\n" + hand(1)), f(8, "z/w.gen.js", hand(4)), f(9, "z/own.js", hand(5))]
+    assert {r.file_id for r in handwritten.found(spark.createDataFrame(data, FILES), Scratch(spark, "t")).collect()} - {2, 3} == {4, 6, 7, 8}
+
+
 def test_copies_of_any_size(spark):
     small = "package a.b;\nclass Grid {\n" + "\n".join(f"  int {x} = {i};" for i, x in enumerate(["top", "left", "width", "height", "rows", "columns", "gap", "margin", "border", "shade", "depth"])) + "\n}\n"
     assert 0 < evidence.fingerprints(small).size < 8 and evidence.fingerprints("var pad = (s, n) => s.padStart(n);").size == 0
