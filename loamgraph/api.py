@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgraph.functions import scalars
 from loamgraph.operators import graph, retrieval
+from loamgraph.plans.code import edges_of
 from loamgraph.plans.problems import entity_nodes
-from loamgraph.sources import parse
 from loamgraph.sources.tables import Scratch, table
 
 
@@ -43,15 +43,16 @@ class Knowledge:
 
     def entity(self, key: str) -> DataFrame:
         """The current row of one entity."""
-        w = Window.partitionBy("entity_key").orderBy(F.col("updated_at").desc())
-        return self.table("entities").filter(F.col("entity_key") == key).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+        e = self.table("entities").filter(F.col("entity_key") == key)
+        rest = [c for c in e.columns if c != "updated_at"]
+        return e.groupBy().agg(F.max(F.struct("updated_at", *rest)).alias("m")).filter("m is not null").select(*[f"m.{c}" for c in e.columns])
 
     def search(self, query: str, top_k: int = 10) -> DataFrame:
         """(id, fused, intent): text and title of documents, weighted by the kind of question."""
         q = self.spark.createDataFrame([(0, query)], "query_id int, text string")
         docs = self.table("documents")
         titles = docs.filter("title is not null").select(F.col("doc_id").alias("id"), F.col("title").alias("text"))
-        text = retrieval.bm25(docs.select("doc_id", "text"), q, scalars.lower_terms, 2 * top_k).select("query_id", F.lit("KEYWORD").alias("channel"), F.col("doc_id").alias("id"), "score", "rank")
+        text = retrieval.bm25(docs.select("doc_id", "text"), q, scalars.lower_terms, Scratch(self.spark, "search"), 2 * top_k).select("query_id", F.lit("KEYWORD").alias("channel"), F.col("doc_id").alias("id"), "score", "rank")
         title = retrieval.overlap(titles, q, scalars.lower_terms, 2 * top_k).select("query_id", F.lit("ENTITY").alias("channel"), "id", "score", "rank")
         by_intent = F.create_map(*[x for k, w in scalars.WEIGHTS.items() for x in (F.lit(k), F.create_map(*[F.lit(y) for kv in w.items() for y in kv]))])
         kind = q.select("query_id", scalars.intent(F.col("text")).alias("intent"))
@@ -66,11 +67,10 @@ class Knowledge:
         return both.groupBy("entity_key").agg(F.max("score").alias("score")).orderBy(F.col("score").desc(), "entity_key")
 
     def edges(self) -> DataFrame:
-        """(src, predicate, dst): directories contain, files import."""
+        """(src, predicate, dst): directories contain, files import, types extend, callables call; imports from outside by name."""
         contains = entity_nodes(self.table("entities")).filter("parent is not null").select(F.col("parent").alias("src"), F.lit("CONTAINS").alias("predicate"), F.col("id").alias("dst"))
-        files = self.table("source_files")
-        imports = parse.imports(files).join(files.select("file_id", "entity_key").distinct(), "file_id").select(F.col("entity_key").alias("src"), F.lit("IMPORTS").alias("predicate"), F.col("target").alias("dst"))
-        return contains.unionByName(imports.distinct())
+        inner, outside = edges_of(self.table("source_files"))
+        return contains.unionByName(inner.select("src", "predicate", "dst")).unionByName(outside.select("src", F.lit("IMPORTS").alias("predicate"), F.col("target").alias("dst")))
 
     def references(self, key: str) -> DataFrame:
         """The edges into and out of one entity."""
@@ -92,7 +92,9 @@ class Knowledge:
 
     def snapshot(self, snapshot_id: str) -> DataFrame:
         """The entities of one snapshot, a key once."""
-        return self.table("snapshot_entities").filter(F.col("snapshot_id") == snapshot_id).dropDuplicates(["entity_key"])
+        e = self.table("snapshot_entities").filter(F.col("snapshot_id") == snapshot_id)
+        rest = [c for c in e.columns if c != "entity_key"]
+        return e.groupBy("entity_key").agg(F.max(F.struct(*rest)).alias("m")).select(*[c if c == "entity_key" else f"m.{c}" for c in e.columns])
 
     def explain(self, key: str) -> DataFrame:
         """(entity_key, entity_type, layers) of one entity."""

@@ -23,7 +23,8 @@ def impact(edges: DataFrame, seeds: DataFrame, scratch: Scratch, direction: str
     repositories).  Each level joins the frontier with the edges and drops
     what was visited; levels are written, so lineage stays flat.
     """
-    walk = directed(edges, direction)
+    # written once: each level reads the edges again, not what they were made of, and a small frontier is sent to them
+    walk = scratch.cut(directed(edges, direction).select("a", "b", "predicate"))
     visited = scratch.cut(seeds.select(F.col("id"), F.lit(0).alias("hop")).distinct())
     frontier, scanned = visited, None
     for hop in range(1, depth + 1):
@@ -53,6 +54,13 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return sides.groupBy(F.col("x.id").alias("id"), "predicate").agg(F.sum("x.o").alias("out_edges"), F.sum("x.i").alias("in_edges"))
 
 
+def around(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, side, predicate, other): the edges out of and into each of ``nodes`` (id)."""
+    ids = nodes.select("id").distinct()
+    out = edges.join(ids.withColumnRenamed("id", "src"), "src").select(F.col("src").alias("id"), F.lit("OUT").alias("side"), "predicate", F.col("dst").alias("other"))
+    return out.unionByName(edges.join(ids.withColumnRenamed("id", "dst"), "dst").select(F.col("dst").alias("id"), F.lit("IN").alias("side"), "predicate", F.col("src").alias("other")))
+
+
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The edges whose ends are both among ``nodes`` (id)."""
     ids = nodes.select("id").distinct()

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgraph.functions.scalars import tempered
+from loamgraph.operators.segments import chunked
 
 Z = 1.959963984540054
 
@@ -73,15 +74,15 @@ def wilson(k, n):
     return F.round(100 * F.greatest(F.lit(0.0), mid - half), 2), F.round(100 * F.least(F.lit(1.0), mid + half), 2)
 
 
-def ordinals(df: DataFrame, key: str, value: str, shares: list[float]) -> DataFrame:
+def ordinals(df: DataFrame, key: str, value: str, shares: list[float], hot_rows: int = 1_000_000) -> DataFrame:
     """(key, share, value): the value at index int(share x n) of the sorted values of each key.
 
-    Equal values are counted first, so a key with a third of all rows is as
-    many rows as it has distinct values.
+    Equal values are counted first; a key with many different values is cut
+    along them, so that no task sorts a third of all rows.
     """
     c = df.filter(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(key).orderBy("v")
-    r = c.withColumn("to", F.sum("n").over(w)).withColumn("all", F.sum("n").over(Window.partitionBy(key)))
+    total = c.groupBy(key).agg(F.sum("n").alias("all"))
+    r = chunked(c.withColumn("to", F.col("n")), key, ["v"], hot_rows).running_sum("to").df.join(total, key)
     at = F.least(F.floor(F.col("share") * F.col("all")), F.col("all") - 1)
     x = r.withColumn("share", F.explode(F.array(*[F.lit(s) for s in shares]))).filter((at >= F.col("to") - F.col("n")) & (at < F.col("to")))
     return x.select(key, "share", F.col("v").alias(value))

@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamgraph.sources.tables import Scratch
+
 K1, B, RRF_K, ALPHA = 1.5, 0.75, 60, 0.5
+#: Postings of a query's rarest terms, for each of its best k, that give the bound; scores nearer than this are equal.
+SEEDS, ROUNDED = 500, 1e-5
 
 
 def postings(docs: DataFrame, terms: Column) -> DataFrame:
@@ -18,22 +22,54 @@ def postings(docs: DataFrame, terms: Column) -> DataFrame:
     return t.select("doc_id", F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, terms, k: int = 10) -> DataFrame:
+def _best(post: DataFrame, asked: DataFrame, scratch: Scratch, k: int) -> DataFrame:
+    """(query_id, doc_id, raw) of all documents that can be among a query's best k; raw is the sum of weights.
+
+    ``post``: doc_id, term, w (not negative); ``asked``: query_id, term, times.
+    ``post``: doc_id, term, w (not negative); ``asked``: query_id, term, times.
+    Scoring every document that shares any term with a query would be documents
+    times queries.  Instead the query's rarest terms give k documents whose
+    partial scores bound the k-th best from below.  Terms whose greatest weights
+    together stay under that bound (the common ones) can't lift a document into
+    the best k by themselves: they are left out of the first sum, and added for
+    those documents only that can still reach the bound.  Exact, ties included.
+    """
+    terms = asked.join(post.groupBy("term").agg(F.count("*").alias("df"), F.max("w").alias("most")), "term").withColumn("ub", F.col("times") * F.col("most"))
+    rare = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    seeds = terms.withColumn("before", F.coalesce(F.sum("df").over(rare), F.lit(0))).filter(F.col("before") < SEEDS * k)
+    partial = post.join(seeds, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("times")).alias("raw"))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("raw").desc()))
+    bound = partial.withColumn("n", nth).filter(F.col("n") <= k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("raw")).alias("bound"))
+    common = Window.partitionBy("query_id").orderBy("ub", F.col("df").desc(), "term")
+    needed = F.col("bound").isNull() | (F.sum("ub").over(common) >= F.col("bound") - ROUNDED)
+    # a row a query term: small, and read by both sums
+    terms = scratch.cut(terms.join(bound, "query_id", "left").select("query_id", "term", "times", "ub", "bound", needed.alias("needed")))
+    rest = terms.groupBy("query_id").agg(F.max("bound").alias("bound"), F.sum(F.when(~F.col("needed"), F.col("ub")).otherwise(0.0)).alias("rest"))
+    first = post.join(terms.filter("needed").select("query_id", "term", "times"), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("times")).alias("raw"))
+    open_ = scratch.cut(first.join(rest, "query_id").filter(F.col("bound").isNull() | (F.col("raw") + F.col("rest") >= F.col("bound") - ROUNDED)).select("query_id", "doc_id", "raw"))
+    more = open_.select("query_id", "doc_id").join(post, "doc_id").join(terms.filter("not needed").select("query_id", "term", "times"), ["query_id", "term"]).select("query_id", "doc_id", (F.col("w") * F.col("times")).alias("raw"))
+    return open_.unionByName(more).groupBy("query_id", "doc_id").agg(F.sum("raw").alias("raw"))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, terms, scratch: Scratch, k: int = 10) -> DataFrame:
     """(query_id, doc_id, score, rank) of the best k documents of each query.
 
     idf = ln(1 + (N - df + .5) / (df + .5)); scores relative to 1.05 times the
     query's best, between .1 and 1.  A repeated query term counts each time.
-    Only postings of query terms are kept (a broadcast by size, else a shuffle
-    by term), so other terms never leave the scan.
+    Texts are read once: their postings of query terms, and their lengths, are
+    written; other terms never leave the scan.
     """
     asked = queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    sized = docs.select("doc_id", terms(F.col("text")).alias("terms"))
-    stats = sized.agg(F.count("*").alias("docs"), F.avg(F.size("terms")).alias("avg_len"))
-    post = postings(docs, terms(F.col("text"))).join(asked.select("term").distinct(), "term", "left_semi")
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(stats).select("term", "avg_len", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    listed = docs.select("doc_id", terms(F.col("text")).alias("terms"))
+    # a null term stands for the document itself, so that lengths come with the postings
+    wanted = asked.select("term").distinct().withColumn("asked", F.lit(True))
+    every = listed.select("doc_id", F.size("terms").alias("len"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "terms")).alias("term"))
+    held = scratch.cut(every.join(wanted, "term", "left").filter("asked or term is null").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf")))
+    stats = held.filter("term is null").agg(F.count("*").alias("docs"), F.avg("len").alias("avg_len"))
+    post = held.filter("term is not null")
+    idf = post.groupBy("term").agg(F.count("*").alias("df")).crossJoin(stats).select("term", "avg_len", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = post.join(idf, "term").select("doc_id", "term", weight.alias("w")).join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("times")).alias("raw"))
+    scored = _best(post.join(idf, "term").select("doc_id", "term", weight.alias("w")), asked, scratch, k)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("raw", 6).desc(), "doc_id"))
     # the rank alone is filtered first, so that each task keeps k rows a query before the shuffle
     top = scored.withColumn("rank", rank).filter(F.col("rank") <= k).withColumn("best", F.max("raw").over(Window.partitionBy("query_id")))
@@ -63,54 +99,54 @@ def prefixed(entities: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def overlap(texts: DataFrame, queries: DataFrame, terms, k: int = 10) -> DataFrame:
-    """(query_id, id, score, rank): min(.95, .6 + .1 x shared terms), best k of each query."""
-    left = texts.select("id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    right = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    shared = left.join(right, "term").groupBy("query_id", "id").agg(F.count("*").alias("n"))
+    """(query_id, id, score, rank): min(.95, .6 + .1 x shared terms), best k of each query.
+
+    The stated queries meet every text inside its own row, so nothing but the
+    best k of each task and query is shuffled.  Texts that share no term are no
+    hits.  A set of queries too large to be sent along is met in blocks.
+    """
+    left = texts.select("id", F.array_distinct(terms(F.col("text"))).alias("terms")).filter(F.size("terms") > 0)
+    right = queries.select("query_id", F.array_distinct(terms(F.col("text"))).alias("asked")).filter(F.size("asked") > 0)
+    shared = left.crossJoin(right).select("query_id", "id", F.size(F.array_intersect("asked", "terms")).alias("n")).filter("n > 0")
     scored = shared.select("query_id", "id", F.round(F.least(F.lit(0.95), 0.6 + 0.1 * F.col("n")), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def cosine(vectors: DataFrame, queries: DataFrame, k: int = 10, least: float = 0.2, block: int = 4096) -> DataFrame:
+def _matrix(lists: pa.ListArray) -> np.ndarray:
+    """Rows of equal length as a matrix of unit rows."""
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(float)
+    m = flat.reshape(len(lists), -1)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+
+
+def _blocks(df: DataFrame, id_: str, name: str, rows: int) -> DataFrame:
+    """(name_ids, name_vectors) of about ``rows`` rows each, spread by hash."""
+    n = df.count()
+    held = df.filter(F.col(id_).isNotNull() & F.col("embedding").isNotNull()).select(F.col(id_).cast("long").alias("i"), F.col("embedding").cast("array<double>").alias("v"))
+    return held.groupBy(F.pmod(F.xxhash64("i"), F.lit(max(1, -(-n // rows)))).alias("b")).agg(F.collect_list(F.struct("i", "v")).alias("x")).select(F.col("x.i").alias(f"{name}_ids"), F.col("x.v").alias(f"{name}_vectors"))
+
+
+def cosine(vectors: DataFrame, queries: DataFrame, k: int = 10, least: float = 0.2, block: int = 2048) -> DataFrame:
     """(query_id, vec_id, score, rank): (cos + 1) / 2 of at least ``least``, best k, itself left out.
 
-    Exact, in blocks of ``block`` queries: each block (bounded in size) goes to
-    the scan as a matrix, each batch of rows keeps its best k of every query,
-    and only those are ranked across batches.
+    Exact.  Vectors and the stated queries are put into blocks of a bounded
+    size; each pair of blocks is one matrix product that keeps the best k of
+    every query, and only those are ranked across blocks.  Nothing passes
+    through the driver.  Vectors of one call have one length.
     """
-    spark = vectors.sparkSession
-    rows = queries.select("query_id", F.col("embedding").cast("array<double>").alias("v")).orderBy("query_id")
-    out = None
-    buffer: list = []
-
-    def scan(part: list) -> DataFrame:
-        ids = np.array([r.query_id for r in part])
-        m = np.array([r.v for r in part], float)
-        m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
-        held = spark.sparkContext.broadcast((ids, m))
-
-        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            qid, q = held.value
-            for b in batches:
-                x = np.array(b.embedding.tolist(), float)
-                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-                s = np.round(np.clip((q @ x.T + 1) / 2, 0, 1), 6)
-                v = b.vec_id.to_numpy()
-                s[qid[:, None] == v[None, :]] = -1
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                v, q = b.column("v_ids")[r].values.to_numpy(), b.column("q_ids")[r].values.to_numpy()
+                s = np.round(np.clip((_matrix(b.column("q_vectors")[r].values) @ _matrix(b.column("v_vectors")[r].values).T + 1) / 2, 0, 1), 6)
+                s[q[:, None] == v[None, :]] = -1
                 order = np.lexsort((np.broadcast_to(v, s.shape), -s), axis=1)[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(qid, order.shape[1]), "vec_id": v[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
-
-        return vectors.select("vec_id", "embedding").mapInPandas(best, "query_id long, vec_id long, score double")
-
-    for r in rows.toLocalIterator():
-        buffer.append(r)
-        if len(buffer) == block:
-            out, buffer = (scan(buffer) if out is None else out.unionByName(scan(buffer))), []
-    if buffer or out is None:
-        if not buffer:
-            return spark.createDataFrame([], "query_id long, vec_id long, score double, rank int")
-        out = scan(buffer) if out is None else out.unionByName(scan(buffer))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, order.shape[1])), pa.array(v[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], names=["query_id", "vec_id", "score"])
+
+    pairs = _blocks(vectors, "vec_id", "v", block).crossJoin(_blocks(queries, "query_id", "q", block))
+    out = pairs.mapInArrow(best, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return out.filter(F.col("score") >= least).withColumn("rank", rank).filter(F.col("rank") <= k)
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from loamgraph.functions import scalars as S
 from loamgraph.functions.normal import clean_path
 from loamgraph.operators import contracts, graph, metrics, retrieval, state
+from loamgraph.operators.gitgraph import latest_commits, resolve_refs
+from loamgraph.operators.segments import chunked
 from loamgraph.sources import parse
 from loamgraph.sources.tables import Scratch, table
 from loamgraph.streaming import ingest
@@ -43,9 +45,10 @@ def m2_timeline(spark, d):
 select project_key, count(distinct sha) as modifications, count(distinct author_name) as authors, cast(sum(total_insertions) as bigint) as insertions, cast(sum(total_deletions) as bigint) as deletions
 from m where rn = 1 group by project_key""")
 def m1_change_frequency(spark, d):
-    c = table(spark, d, "commits").filter(F.col("message").contains("audit"))
-    w = Window.partitionBy("sha").orderBy(F.col("authored_at").desc(), F.col("recorded_at").desc(), "total_insertions")
-    one = c.withColumn("rn", F.row_number().over(w)).filter("rn = 1")
+    c = table(spark, d, "commits").filter(F.col("message").contains("audit") & F.col("sha").isNotNull())
+    # the least of a struct is combined before the shuffle; times are turned round to take the latest
+    latest = F.min(F.struct((-F.unix_micros(F.col("authored_at").cast("timestamp"))).alias("a"), (-F.unix_micros(F.col("recorded_at").cast("timestamp"))).alias("b"), "total_insertions", "project_key", "author_name", "total_deletions")).alias("m")
+    one = c.groupBy("sha").agg(latest).select("sha", "m.*")
     return one.groupBy("project_key").agg(F.countDistinct("sha").alias("modifications"), F.countDistinct("author_name").alias("authors"), F.sum("total_insertions").alias("insertions"), F.sum("total_deletions").alias("deletions"))
 
 
@@ -67,8 +70,8 @@ def m2_changes_since(spark, d):
 
 @query("""select file_rel_path, change_id, authored_at, row_number() over (partition by file_rel_path order by authored_at desc, change_id) as n from entity_changes where file_rel_path is not null""")
 def m2_file_timeline(spark, d):
-    w = Window.partitionBy("file_rel_path").orderBy(F.col("authored_at").desc(), "change_id")
-    return table(spark, d, "entity_changes").filter("file_rel_path is not null").select("file_rel_path", "change_id", "authored_at", F.row_number().over(w).alias("n"))
+    c = table(spark, d, "entity_changes").filter("file_rel_path is not null").select("file_rel_path", "change_id", "authored_at", (-F.unix_micros(F.col("authored_at").cast("timestamp"))).alias("back"), F.lit(1).cast("long").alias("n"))
+    return chunked(c, "file_rel_path", ["back", "change_id"]).running_sum("n").df.select("file_rel_path", "change_id", "authored_at", F.col("n").cast("int").alias("n"))
 
 
 @query("""select entity_key, count(*) as changes, max(authored_at) as newest, count(distinct commit_sha) as commits from entity_changes where entity_key is not null group by entity_key""")
@@ -76,6 +79,15 @@ def m2_entity_timeline(spark, d):
     return table(spark, d, "entity_changes").filter("entity_key is not null").groupBy("entity_key").agg(F.count("*").alias("changes"), F.max("authored_at").alias("newest"), F.countDistinct("commit_sha").alias("commits"))
 
 
+@query("""select entity_key, change_id, change_type, authored_at, row_number() over (partition by entity_key order by authored_at, change_id) as n from (select *, row_number() over (partition by change_id order by recorded_at desc) as rn from entity_changes where entity_key is not null and change_id is not null) where rn = 1""")
+def m2_entity_history(spark, d):
+    """Every change of every entity, numbered in order of time; a repeated change counts once."""
+    latest = F.max(F.struct("recorded_at", "entity_key", "change_type", "authored_at")).alias("m")
+    one = table(spark, d, "entity_changes").filter("entity_key is not null and change_id is not null").groupBy("change_id").agg(latest).select("change_id", "m.*")
+    c = one.select("entity_key", "change_id", "change_type", "authored_at", F.unix_micros(F.col("authored_at").cast("timestamp")).alias("at"), F.lit(1).cast("long").alias("n"))
+    return chunked(c, "entity_key", ["at", "change_id"]).running_sum("n").df.select("entity_key", "change_id", "change_type", "authored_at", F.col("n").cast("int").alias("n"))
+
+
 # -- scalars
 
 
@@ -126,7 +138,7 @@ def asked(spark, d):
 
 
 def bm25_results(spark, d, k=10):
-    return retrieval.bm25(table(spark, d, "documents").select("doc_id", "text"), asked(spark, d), S.lower_terms, k)
+    return retrieval.bm25(table(spark, d, "documents").select("doc_id", "text"), asked(spark, d), S.lower_terms, Scratch(spark, "bm25"), k)
 
 
 _BM25 = f"""t as (select doc_id, len({_TERMS.format('text')}) as len, unnest({_TERMS.format('text')}) as term from documents),
@@ -271,6 +283,13 @@ def m7_neighbours(spark, d):
     return graph.neighbours(relations(spark, d))
 
 
+@query(f"""with {_EDGES}, s as (select 'SUPPLIER:' || s_suppkey as id from supplier where s_suppkey % 20 = 0) select id, 'OUT' as side, predicate, dst as other from e join s on src = id union all select id, 'IN', predicate, src from e join s on dst = id""")
+def m7_neighbour_rows(spark, d):
+    """The edges around the stated nodes, a row each."""
+    asked = table(spark, d, "supplier").filter("s_suppkey % 20 = 0").select(F.concat(F.lit("SUPPLIER:"), F.col("s_suppkey").cast("string")).alias("id"))
+    return graph.around(relations(spark, d), asked)
+
+
 @query(f"with {_EDGES} select src, predicate, dst from e where regexp_matches(src, '^(NATION|SUPPLIER|REGION)') and regexp_matches(dst, '^(NATION|SUPPLIER|REGION)')")
 def m7_overview(spark, d):
     e = relations(spark, d)
@@ -318,12 +337,17 @@ def m8_prefix_join(spark, d):
     return contracts.by_prefix(raw, packages)
 
 
-_CALLS = r"""select file_id, upper(regexp_extract(m, '\.(get|post|put|delete)', 1)) as method, regexp_replace(regexp_replace(regexp_replace(case when starts_with(trim(p), '/') then trim(p) else '/' || trim(p) end, '\$\{[^}]+\}', '{id}', 'g'), '/+', '/', 'g'), '/+$', '') as path
-from (select file_id, unnest(regexp_extract_all(content, '(?:axios|apiClient|http|request|client)\.(?:get|post|put|delete)\s*\(\s*[`''"][^`''"]+[`''"]')) as m from source_files) t, lateral (select regexp_extract(m, '[`''"]([^`''"]+)[`''"]', 1) as p) u"""
+# each literal call, and what is added to its route: a name, a template's placeholder or another literal
+_CALLS = r"""select file_id, upper(regexp_extract(m, '(?i)\.(get|post|put|delete|patch)', 1)) as method, regexp_replace(regexp_replace(regexp_replace(case when starts_with(p, '/') then p else '/' || p end, '\$\{[^}]+\}', '{id}', 'g'), '/+', '/', 'g'), '/+$', '') as path
+from (select file_id, m, regexp_replace(regexp_replace(regexp_replace(trim(regexp_extract(m, '\(\s*(.*)$', 1)), '[`''"]\s*\+\s*[\w$.]+\s*\+\s*[`''"]', '{id}', 'g'), '[`''"]\s*\+\s*[\w$.]+\s*$', '{id}'), '[`''"]', '', 'g') as p
+from (select file_id, unnest(regexp_extract_all(content, '(?i)\b(?:axios|apiClient|http|request|client)\.(?:get|post|put|delete|patch)\s*\(\s*[`''"][^`''"]+[`''"](?:\s*\+\s*(?:[\w$.]+|[`''"][^`''"]*[`''"]))*')) as m from source_files))
+union all select file_id, upper(coalesce(nullif(regexp_extract(m, 'method\s*:\s*[''"]([A-Za-z]+)', 1), ''), 'GET')), regexp_replace(regexp_replace(regexp_replace(case when starts_with(p, '/') then p else '/' || p end, '\$\{[^}]+\}', '{id}', 'g'), '/+', '/', 'g'), '/+$', '')
+from (select file_id, m, regexp_extract(m, 'url\s*:\s*[`''"]([^`''"]+)', 1) as p from (select file_id, unnest(regexp_extract_all(content, '\{\s*url\s*:\s*[`''"][^`''"]+[`''"](?:\s*,\s*method\s*:\s*[''"][A-Za-z]+[''"])?')) as m from source_files))"""
 
 
 @query(_CALLS)
 def m8_client_calls(spark, d):
+    """Calls of an HTTP client by pattern; a route's parameters, in templates or added by +, are {id}."""
     return parse.client_calls(table(spark, d, "source_files"))
 
 
@@ -511,18 +535,20 @@ a as (select entity_key as key, max_by(entity_name, (authored_at, change_id)) as
 select coalesce(s.key, a.key) as key, case when s.key is null then 'CREATED' when a.key is null then 'DELETED' when st = 'DELETED' then 'REACTIVATED' when s.value is not distinct from a.value then 'UNCHANGED' else 'UPDATED' end as outcome, case when a.key is not null then a.value else s.value end as value
 from s full join a on s.key = a.key where not (a.key is null and coalesce(st, '') = 'DELETED')""")
 def m11_upsert_status(spark, d):
-    w = Window.partitionBy("entity_key").orderBy(F.col("updated_at").desc(), "name")
-    stored = table(spark, d, "entities").withColumn("rn", F.row_number().over(w)).filter("rn = 1").select(F.col("entity_key").alias("key"), F.col("name").alias("value"), "status")
+    latest = F.min(F.struct((-F.unix_micros(F.col("updated_at").cast("timestamp"))).alias("t"), "name", "status")).alias("m")
+    stored = table(spark, d, "entities").groupBy(F.col("entity_key").alias("key")).agg(latest).select("key", F.col("m.name").alias("value"), "m.status")
     arrived = table(spark, d, "entity_changes").filter("entity_key is not null and entity_name is not null and upper(change_type) <> 'DELETED'").groupBy(F.col("entity_key").alias("key")).agg(F.max_by("entity_name", F.struct("authored_at", "change_id")).alias("value"))
     return state.upsert(stored, arrived)
 
 
-@query("""with e as (select distinct sha as src, 'PARENT' as predicate, lower(trim(parent_sha)) as dst from commits where parent_sha is not null), n as (select distinct sha as id from commits)
-select src, predicate, dst from e where dst not in (select id from n)""")
+@query(r"""with one as (select sha, source_id, nullif(regexp_replace(lower(regexp_replace(parent_sha, '^\s+|\s+$', '', 'g')), '^0+$', ''), '') as ref from (select *, row_number() over (partition by sha order by recorded_at desc nulls last, nullif(regexp_replace(lower(regexp_replace(parent_sha, '^\s+|\s+$', '', 'g')), '^0+$', ''), '') desc nulls last, source_id desc) as rn from commits where sha is not null) where rn = 1)
+select c.sha as src, 'PARENT' as predicate, c.ref as dst from one c where ref is not null and not exists (select 1 from one p where p.source_id is not distinct from c.source_id and (p.sha = c.ref or (length(c.ref) between 10 and 39 and starts_with(p.sha, c.ref))))""")
 def m11_stale_edges(spark, d):
-    c = table(spark, d, "commits")
-    e = c.filter("parent_sha is not null").select(F.col("sha").alias("src"), F.lit("PARENT").alias("predicate"), F.lower(F.trim("parent_sha")).alias("dst")).distinct()
-    return graph.dangling(e, c.select(F.col("sha").alias("id")))
+    """Parent references, as last delivered, that mean no commit of their source; no-parent marks are no reference."""
+    one = latest_commits(table(spark, d, "commits"))
+    refs = one.filter("parent_ref is not null").select(F.col("sha").alias("src"), "source_id", F.col("parent_ref").alias("ref"))
+    found = resolve_refs(refs, one.select("sha", "source_id")).select("src")
+    return refs.join(found, "src", "left_anti").select("src", F.lit("PARENT").alias("predicate"), F.col("ref").alias("dst"))
 
 
 @query("""with u as (select distinct source_id as stream, snapshot_id, created_at from project_snapshots), r as (select *, row_number() over (partition by stream order by created_at desc, snapshot_id desc) as n, row_number() over (partition by stream order by created_at, snapshot_id) as o from u)

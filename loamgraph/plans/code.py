@@ -52,14 +52,15 @@ def m13_extraction_status(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy(F.coalesce("kind", F.lit("")).alias("language"), F.col("name").alias("reason")).agg(F.count("*").alias("files"), F.sum("arguments").alias("symbols"))
 
 
-def m8_resolved_edges(spark: SparkSession, d: str) -> DataFrame:
-    """(src, predicate, dst, tier): imports between files and edges between symbols, by entity keys."""
-    files = table(spark, d, "source_files")
+def edges_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(src, predicate, dst, tier) of resolved relations, by entity keys, and (src, target) of imports that mean no file."""
+    spark = files.sparkSession
     scratch = Scratch(spark, "resolved")
     rows = scratch.cut(code.extracted(files))
     index = scratch.cut(resolve.file_index(files))
     top = rows.filter("row = 'symbol' and owner = ''").select("file_id", "name")
-    found = scratch.cut(resolve.modules(rows.filter("row = 'import'"), index, rows.filter("row = 'package'").select("file_id", "name"), top))
+    imported = rows.filter("row = 'import'")
+    found = scratch.cut(resolve.modules(imported, index, rows.filter("row = 'package'").select("file_id", "name"), top))
     path = index.select("file_id", F.concat(F.lit("FILE:"), "project_key", F.lit(":"), "path").alias("key"))
     of = lambda name: path.select(F.col("file_id").alias(f"{name}_id"), F.col("key").alias(name))
     imports = found.join(of("src"), F.col("file_id") == F.col("src_id")).join(of("dst"), F.col("object") == F.col("dst_id")).select("src", F.lit("IMPORTS").alias("predicate"), "dst", "tier")
@@ -69,7 +70,13 @@ def m8_resolved_edges(spark: SparkSession, d: str) -> DataFrame:
     target = named.select(F.col("file_id").alias("object_file"), F.col("qualified").alias("object"), F.col("key").alias("dst"))
     whole = path.select("file_id", F.col("key").alias("file_key"))
     sym = edges.join(inner, ["file_id", "subject"], "left").join(whole, "file_id").join(target, ["object_file", "object"]).select(F.coalesce("src", "file_key").alias("src"), "predicate", "dst", "tier")
-    return imports.unionByName(sym).distinct()
+    outside = imported.select("file_id", "target").distinct().join(found.select("file_id", "target"), ["file_id", "target"], "left_anti").join(whole, "file_id").select(F.col("file_key").alias("src"), "target").distinct()
+    return imports.unionByName(sym).distinct(), outside
+
+
+def m8_resolved_edges(spark: SparkSession, d: str) -> DataFrame:
+    """(src, predicate, dst, tier): imports between files and edges between symbols, by entity keys."""
+    return edges_of(table(spark, d, "source_files"))[0]
 
 
 def m8_resolved_imports(spark: SparkSession, d: str) -> DataFrame:

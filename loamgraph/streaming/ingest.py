@@ -1,10 +1,9 @@
-"""Structured Streaming forms: event ingest, windows over event time, stateful weights."""
+"""Structured Streaming forms: event ingest, windows over event time."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +14,11 @@ def _timed(events: DataFrame, time: str, late: str) -> DataFrame:
 
 
 def deduplicated(events: DataFrame, key: str = "event_id", time: str = "ts", late: str = "1 hour") -> DataFrame:
-    """Each event once; late repeats within the watermark are dropped, batch or stream."""
+    """Each event once: of a batch the earliest row of a key (ties by the least other fields), of a stream the first within the watermark."""
     if events.isStreaming:
         return _timed(events, time, late).dropDuplicatesWithinWatermark([key])
-    return events.dropDuplicates([key])
+    rest = [c for c in events.columns if c not in (key, time)]
+    return events.groupBy(key).agg(F.min(F.struct(time, *rest)).alias("m")).select(key, f"m.{time}", *[f"m.{c}" for c in rest])
 
 
 def tumbling(events: DataFrame, width: str = "1 day", slide: str | None = None, late: str = "1 hour") -> DataFrame:
@@ -41,23 +41,3 @@ def ingest(stream: DataFrame, path: str, checkpoint: str, step: Callable[[DataFr
         step(batch, batch_id).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def adapted(outcomes: DataFrame) -> DataFrame:
-    """(task, samples, accuracy, weight) per task, adapted with each outcome (task, correct 0/1) of a stream.
-
-    From five samples on, an accuracy of .9 or more raises the weight of
-    history by .02 up to .5, else it falls by .02 down to .05.
-    """
-
-    def fold(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n, right, weight = state.get if state.exists else (0, 0, 0.10)
-        for b in batches:
-            for c in b["correct"]:
-                n, right = n + 1, right + int(c)
-                if n >= 5:
-                    weight = min(0.5, weight + 0.02) if right / n >= 0.9 else max(0.05, weight - 0.02)
-        state.update((n, right, weight))
-        yield pd.DataFrame({"task": [key[0]], "samples": [n], "accuracy": [round(right / max(n, 1), 4)], "weight": [round(weight, 4)]})
-
-    return outcomes.groupBy("task").applyInPandasWithState(fold, "task string, samples long, accuracy double, weight double", "n long, correct long, weight double", "update", "NoTimeout")

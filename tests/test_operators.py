@@ -165,12 +165,38 @@ def test_streams(spark, data, tmp_path):
     assert rows(spark.table("windows")) == rows(batch)
 
 
-def test_stateful_weights(spark, tmp_path):
-    spark.createDataFrame([("t", 1)] * 6 + [("u", 0)] * 5, "task string, correct int").coalesce(1).write.parquet(str(tmp_path / "o"))
-    s = ingest.adapted(spark.readStream.schema("task string, correct int").parquet(str(tmp_path / "o")))
-    q = s.writeStream.format("memory").queryName("weights").outputMode("update").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert {tuple(r) for r in spark.table("weights").collect()} == {("t", 6, 1.0, 0.14), ("u", 5, 0.0, 0.08)}
+def test_earliest_event_counts(spark):
+    e = spark.createDataFrame([("a", 5, 1, None), ("a", 3, 9, 7), ("a", 3, 2, None), ("b", None, 1, 1)], "event_id string, ts int, user_id int, value int")
+    assert rows(ingest.deduplicated(e)) == {("a", 3, 2, None), ("b", None, 1, 1)}
+    assert ingest.deduplicated(e.limit(0)).count() == 0
+
+
+def test_scoring_by_bounds(spark, monkeypatch):
+    """Leaving documents out by bounds changes nothing: as all pairs scored, at any number of seeds."""
+    import random
+
+    rnd = random.Random(7)
+    words = [f"w{int(rnd.paretovariate(0.7))}" for _ in range(4000)]
+    docs = spark.createDataFrame([(i, " ".join(rnd.sample(words, rnd.randrange(1, 30)))) for i in range(400)] + [(900, ""), (901, None)], "doc_id long, text string")
+    queries = spark.createDataFrame([(q, " ".join(rnd.sample(words, 12))) for q in range(6)] + [(90, "nothing here"), (91, ""), (92, "w1 w1 w2")], "query_id long, text string")
+    call = lambda: rows(retrieval.bm25(docs, queries, scalars.lower_terms, Scratch(spark, "t"), 5))
+    few = None
+    for seeds in (0, 1, 3, 10**6):
+        monkeypatch.setattr(retrieval, "SEEDS", seeds)
+        got = call()
+        few = few or got
+        assert got == few and {r[0] for r in got} == {0, 1, 2, 3, 4, 5, 92}
+
+
+def test_client_calls(spark):
+    text = "axios.get('/users/' + id + '/x'); API.client.Post(`/a/${b}/c`); http.delete(\"/d/\" + row.id); request({ url: '/o', method: 'put' }); request({url: '/p'}); client.get(path)"
+    got = rows(parse.client_calls(spark.createDataFrame([(1, text)], "file_id long, content string")))
+    assert got == {(1, "GET", "/users/{id}/x"), (1, "POST", "/a/{id}/c"), (1, "DELETE", "/d/{id}"), (1, "PUT", "/o"), (1, "GET", "/p")}
+
+
+def test_percentiles_of_a_hot_key(spark):
+    df = spark.createDataFrame([("k", float(i)) for i in range(500)] + [("j", 1.0)], "k string, v double")
+    assert rows(metrics.ordinals(df, "k", "v", [0.5, 0.99], 10)) == rows(metrics.ordinals(df, "k", "v", [0.5, 0.99])) == {("k", 0.5, 250.0), ("k", 0.99, 495.0), ("j", 0.5, 1.0), ("j", 0.99, 1.0)}
 
 
 @pytest.mark.parametrize("name", ["a.env", "id_rsa", "x.pem"])
