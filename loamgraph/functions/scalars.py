@@ -34,7 +34,7 @@ LAYERS = {
     "component": "component|panel|modal|drawer|table|button",
     "api": "api|controller|endpoint|client|request",
     "service": "service|manager|handler|helper|util",
-    "rule": "rule|validator|policy|business|leadconversion",
+    "rule": "rule|validator|policy|business",
 }
 _DELIMITERS = "[\\s,.;:!?()\\[\\]{}<>\"'`/\\\\|=+*&^%$#@~，。；：！？（）【】《》、]+"
 

@@ -299,7 +299,7 @@ def m7_overview(spark, d):
 
 @query("""select layer, count(*) as entities from (select entity_key, unnest(list_filter([case when regexp_matches(lower(path || ' ' || name), 'view|page|layout') then 'page' end, case when regexp_matches(lower(path || ' ' || name), 'component|panel|modal|drawer|table|button') then 'component' end,
 case when regexp_matches(lower(path || ' ' || name), 'api|controller|endpoint|client|request') then 'api' end, case when regexp_matches(lower(path || ' ' || name), 'service|manager|handler|helper|util') then 'service' end,
-case when regexp_matches(lower(path || ' ' || name), 'rule|validator|policy|business|leadconversion') then 'rule' end], lambda x: x is not null)) as layer from entities where path is not null and name is not null) group by layer""")
+case when regexp_matches(lower(path || ' ' || name), 'rule|validator|policy|business') then 'rule' end], lambda x: x is not null)) as layer from entities where path is not null and name is not null) group by layer""")
 def m7_layers(spark, d):
     e = table(spark, d, "entities").filter("path is not null and name is not null")
     return e.select(F.explode(S.layers(F.concat_ws(" ", "path", "name"))).alias("layer")).groupBy("layer").agg(F.count("*").alias("entities"))
@@ -596,20 +596,26 @@ def m13_imports(spark, d):
     return parse.imports(table(spark, d, "source_files"))
 
 
-@query()
+@query("""with v as (select file_id, content from source_files where lower(file_path) like '%.json' and content is not null and json_valid(content) and json_type(content) = 'OBJECT' and (content ->> '$.name') is not null),
+s as (select file_id, content, section from v, (values ('scripts'), ('dependencies'), ('devDependencies'), ('peerDependencies'), ('optionalDependencies')) t(section) where json_type(content, '$.' || section) = 'OBJECT')
+select file_id, content ->> '$.name' as package, content ->> '$.version' as version, section, name, json_extract_string(content, '$.' || section || '."' || name || '"') as spec from (select *, unnest(json_keys(content, '$.' || section)) as name from s)""")
 def m13_manifest_entries(spark, d):
     """Scripts and dependencies of the package manifests among the JSON files."""
     return parse.manifest_entries(table(spark, d, "source_files").filter(F.lower("file_path").endswith(".json")))
 
 
-@query()
+@query(r"""select file_id, array_to_string(list_sort(list_distinct(regexp_extract_all(content, '<([A-Z][\w]*|[a-z]+(?:-[a-z0-9]+)+)[\s/>]', 1))), ',') as tags, array_to_string(list_sort(list_distinct(regexp_extract_all(content, '(?:@|v-on:)([a-z][\w-]*)', 1))), ',') as events,
+length(regexp_extract(content, '(?s)<script[^>]*>(.*?)</script>', 1)) as script_chars from source_files where lower(file_path) like '%.vue'""")
 def m13_template_tags(spark, d):
     """Component tags and event bindings of single-file components."""
     v = table(spark, d, "source_files").filter(F.lower("file_path").endswith(".vue"))
     return v.select("file_id", F.array_join(parse.component_tags(F.col("content")), ",").alias("tags"), F.array_join(parse.event_bindings(F.col("content")), ",").alias("events"), F.length(parse.script_block(F.col("content"))).alias("script_chars"))
 
 
-@query()
+@query(r"""with l as (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null), i as (select doc_id, unnest(range(1, len(ls) + 1)) as n, unnest(ls) as line from l),
+g as (select doc_id, n, line, sum(case when n = 1 or regexp_matches(line, '^#{1,3} ') then 1 else 0 end) over (partition by doc_id order by n) as part from i),
+c as (select doc_id, part, min(n) as start_line, max(n) as end_line, string_agg(line, chr(10) order by n) as t from g group by doc_id, part)
+select doc_id, row_number() over (partition by doc_id order by part) - 1 as chunk, start_line, end_line, length(t) as chars from c where trim(regexp_replace(t, '\s+', ' ', 'g')) <> ''""")
 def m13_chunks(spark, d):
     """Markdown sections of every document."""
     return parse.chunks(table(spark, d, "documents").filter("text is not null")).select("doc_id", "chunk", "start_line", "end_line", F.length("text").alias("chars"))
