@@ -47,6 +47,15 @@ def encoder(path: str):
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def _stretch(text: str, at: int) -> int:
+    """Where the stretch that begins at ``at`` ends."""
+    n = len(text)
+    end = min(n, at + STRETCH)
+    while end < n and not (text[end] == " " and text[end - 1].isalnum() and end + 1 < n and text[end + 1].isalpha()):
+        end += 1
+    return end
+
+
 def tokens_in(text: str | None, path: str) -> int:
     """Number of tokens; null and empty texts have none.
 
@@ -57,9 +66,7 @@ def tokens_in(text: str | None, path: str) -> int:
         return 0
     enc, total, at, n = encoder(path), 0, 0, len(text)
     while at < n:
-        end = min(n, at + STRETCH)
-        while end < n and not (text[end] == " " and text[end - 1].isalnum() and end + 1 < n and text[end + 1].isalpha()):
-            end += 1
+        end = _stretch(text, at)
         total += len(enc.encode_ordinary(text[at:end]))
         at = end
     return total
@@ -76,6 +83,37 @@ def sized(documents: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str =
     return documents.filter("doc_id is not null").select("doc_id", "text").mapInPandas(measure, "doc_id long, tokens long").groupBy("doc_id").agg(F.max("tokens").alias("tokens"))
 
 
+def cut_bytes(text: str, path: str, capacity: int = CAPACITY) -> list[tuple[int, int, int]]:
+    """(from, to, tokens) in UTF-8 bytes of each piece of a text; the stretches joined are the text."""
+    enc, sizes, at, n = encoder(path), [], 0, len(text)
+    while at < n:
+        end = _stretch(text, at)
+        sizes += [len(b) for b in enc.decode_tokens_bytes(enc.encode_ordinary(text[at:end]))]
+        at = end
+    ends = np.cumsum([0, *sizes])
+    marks = [*range(0, len(sizes), capacity), len(sizes)]
+    return [(int(ends[a]), int(ends[z]), z - a) for a, z in zip(marks, marks[1:])]
+
+
+def offsets(documents: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, capacity: int = CAPACITY) -> DataFrame:
+    """(doc_id, piece, from_byte, to_byte, tokens): where texts longer than a container are cut.
+
+    Bytes are those of the text in UTF-8; of repeated ids the longest text
+    counts, ties by the greater text.  Texts of no more bytes than a container
+    has tokens fit, so they never leave the scan.
+    """
+    path = f"{tokenizers.rstrip('/')}/{vocabulary}"
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(i, k, *c) for i, t in zip(b.doc_id, b.text) for cuts in [cut_bytes(t, path, capacity)] if len(cuts) > 1 for k, c in enumerate(cuts)]
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc_id", "piece", "from_byte", "to_byte", "tokens"])
+
+    long = documents.filter("doc_id is not null and text is not null").filter(F.octet_length("text") > capacity)
+    return long.groupBy("doc_id").agg(F.max(F.struct(F.length("text"), "text")).alias("m")).select("doc_id", "m.text").mapInPandas(cut, "doc_id long, piece long, from_byte long, to_byte long, tokens long")
+
+
 def pieces(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, tokens): a text longer than a container becomes full pieces and a rest."""
     last = F.greatest(F.ceil(F.col("tokens") / capacity) - 1, F.lit(0))
@@ -177,3 +215,20 @@ def length_buckets(histogram: dict[int, int], buckets: int = 16, capacity: int =
 def batches(buckets: list[tuple[int, int, int, int]], capacity: int = CAPACITY) -> int:
     """Containers of a plan in which each holds texts of one bucket, at its bound."""
     return sum(-(-texts // (capacity // up_to)) for _, up_to, texts, _ in buckets)
+
+
+def budget_batches(histogram: dict[int, int], buckets: list[tuple[int, int, int, int]], capacity: int = CAPACITY) -> int:
+    """Containers of a plan in which each holds texts of one bucket, by their own sizes, from the largest down."""
+    total = 0
+    for over, up_to, _, _ in buckets:
+        room = 0
+        for size in sorted((s for s in histogram if over < s <= up_to), reverse=True):
+            n = histogram[size]
+            fit = min(n, room // size)
+            room, n = room - fit * size, n - fit
+            if n:
+                per = capacity // size
+                opened = -(-n // per)
+                total += opened
+                room = capacity - (n - (opened - 1) * per) * size
+    return total

@@ -60,6 +60,11 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.containers(packing.pieces(packing.sized(table(spark, d, "documents"))), Scratch(spark, "packing"))
 
 
+def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, piece, from_byte, to_byte, tokens) of the texts that no container holds whole."""
+    return packing.offsets(table(spark, d, "documents"))
+
+
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     """One row: containers, tokens, room left and its share, and the least number of containers."""
     size = F.lit(packing.CAPACITY)
@@ -74,5 +79,5 @@ def p7_buckets(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(packing.length_buckets(histogram), "over long, up_to long, texts long, padding long")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p6_found, p6_kinds, p6_evidence, p7_containers, p7_fill, p7_buckets, p8_found, p8_items, p9_found, p9_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p6_found, p6_kinds, p6_evidence, p7_containers, p7_pieces, p7_fill, p7_buckets, p8_found, p8_items, p9_found, p9_rates)}
 ORACLE: dict[str, str] = {}

@@ -154,6 +154,24 @@ def test_token_stretches(monkeypatch):
     assert packing.tokens_in(text, path) == whole and packing.tokens_in("x" * 500, path) > 0 and packing.tokens_in(None, path) == 0
 
 
+def test_pieces_are_the_text(spark):
+    path = f"{packing.TOKENIZERS}/{packing.VOCABULARY}"
+    text = "Some words, 12 Größen and 中文 text with a ✓.\n" * 900
+    df = spark.createDataFrame([(1, text, "s", 0, ""), (2, "short", "s", 0, ""), (1, "x", "s", 0, ""), (3, None, "s", 0, ""), (4, "ab" * 1500, "s", 0, "")], DOCS)
+    got = sorted(packing.offsets(df).collect())
+    raw = text.encode()
+    assert b"".join(raw[r.from_byte : r.to_byte] for r in got) == raw and {r.doc_id for r in got} == {1}
+    assert [(r.doc_id, r.piece, r.tokens) for r in got] == sorted((r.doc_id, r.piece, r.tokens) for r in packing.pieces(packing.sized(df)).filter("doc_id = 1").collect())
+    assert got[0].tokens == 2048 and sum(r.tokens for r in got) == packing.tokens_in(text, path)
+    assert packing.offsets(df.limit(0)).count() == 0
+
+
+def test_budget_batches():
+    h = {2000: 2, 100: 21, 50: 1}
+    assert packing.budget_batches(h, [(0, 100, 22, 0), (100, 2048, 2, 0)]) == 2 + 2
+    assert packing.budget_batches({}, []) == 0
+
+
 def make_items(n=24):
     rnd = random.Random(5)
     name = lambda: rnd.choice(["Lead", "Cargo", "Dock", "Fleet", "Harbor"]) + rnd.choice("ABCDEFGH") + str(rnd.randrange(900))
