@@ -43,6 +43,24 @@ def impact(edges: DataFrame, seeds: DataFrame, scratch: Scratch, direction: str
     return nodes.join(why, "id").select("id", "hop", "evidence")
 
 
+def paths(edges: DataFrame, seeds: DataFrame, scratch: Scratch, direction: str = "both", depth: int = 3) -> DataFrame:
+    """(id, hops, narrative): of each node within ``depth`` hops one shortest path, as "A --[R]--> B".
+
+    Of several the least text counts; a node is extended once, so a cycle ends.
+    """
+    walk = scratch.cut(directed(edges, direction).select("a", "b", "predicate"))
+    frontier = scratch.cut(seeds.select("id", F.col("id").alias("narrative")).distinct())
+    visited, out = frontier.select("id"), None
+    for hop in range(1, depth + 1):
+        step = frontier.select(F.col("id").alias("a"), "narrative").join(walk, "a")
+        text = F.concat("narrative", F.lit(" --["), "predicate", F.lit("]--> "), "b")
+        frontier = scratch.cut(step.select(F.col("b").alias("id"), text.alias("narrative")).groupBy("id").agg(F.min("narrative").alias("narrative")).join(visited, "id", "left_anti"))
+        found = frontier.select("id", F.lit(hop).alias("hops"), "narrative")
+        out = found if out is None else out.unionByName(found)
+        visited = visited.unionByName(frontier.select("id"))
+    return out
+
+
 def level(hop) -> object:
     """DIRECT, INDIRECT or POTENTIAL by hops."""
     return F.when(hop == 1, "DIRECT").when(hop == 2, "INDIRECT").otherwise("POTENTIAL")
