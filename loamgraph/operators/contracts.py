@@ -67,5 +67,6 @@ def merged(candidates: DataFrame) -> DataFrame:
 
 def dispatched(calls: DataFrame, implementations: DataFrame) -> DataFrame:
     """(call_key, impl_key, confidence): .9 for the only implementation, else 1/N to five decimals."""
-    n = F.count("*").over(Window.partitionBy("call_key"))
-    return calls.join(implementations, "interface").withColumn("n", n).select("call_key", "impl_key", F.when(F.col("n") == 1, F.lit(0.9)).otherwise(F.round(1 / F.col("n"), 5)).cast("decimal(6,5)").alias("confidence"))
+    # counted by interface before the join, so no call's implementations are gathered in one place
+    n = implementations.groupBy("interface").agg(F.count("*").alias("n"))
+    return calls.join(implementations, "interface").join(n, "interface").select("call_key", "impl_key", F.when(F.col("n") == 1, F.lit(0.9)).otherwise(F.round(1 / F.col("n"), 5)).cast("decimal(6,5)").alias("confidence"))

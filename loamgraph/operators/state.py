@@ -35,8 +35,10 @@ def upsert(stored: DataFrame, arrived: DataFrame) -> DataFrame:
 def retained(snapshots: DataFrame, keep: int = 50) -> DataFrame:
     """Snapshots (stream, snapshot_id, created_at) to keep: the first of a stream and its newest ``keep``."""
     new = Window.partitionBy("stream").orderBy(F.col("created_at").desc(), F.col("snapshot_id").desc())
-    old = Window.partitionBy("stream").orderBy("created_at", "snapshot_id")
-    return snapshots.withColumn("n", F.row_number().over(new)).withColumn("o", F.row_number().over(old)).filter((F.col("n") <= keep) | (F.col("o") == 1)).drop("n", "o")
+    # a rank that is filtered at once keeps ``keep`` rows a stream in each task, before the shuffle
+    newest = snapshots.withColumn("n", F.row_number().over(new)).filter(F.col("n") <= keep).select("stream", "snapshot_id", "created_at")
+    first = snapshots.groupBy("stream").agg(F.min(F.struct("created_at", "snapshot_id")).alias("m")).select("stream", "m.snapshot_id", "m.created_at")
+    return newest.unionByName(first).distinct()
 
 
 def equivalence(one: DataFrame, other: DataFrame) -> DataFrame:

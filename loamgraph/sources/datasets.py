@@ -4,15 +4,24 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamgraph.operators.segments import chunked
+
 
 def split_by_time(df: DataFrame, group: str, order: list[str], shares: tuple[float, float] = (0.6, 0.2)) -> DataFrame:
-    """Adds split: TRAIN, VALIDATION or TEST by position in each group's order."""
-    w = Window.partitionBy(group)
-    at = (F.row_number().over(w.orderBy(*order)) - 1) / F.count("*").over(w)
-    return df.withColumn("split", F.when(at < shares[0], "TRAIN").when(at < sum(shares), "VALIDATION").otherwise("TEST"))
+    """Adds split: TRAIN, VALIDATION or TEST by position in each group's order.
+
+    ``order`` is unique within a group; its first column is a number or a
+    timestamp, so that a group with a third of all rows is cut along it.
+    """
+    first = order[0]
+    at = F.col(first) if not df.schema[first].dataType.typeName().startswith("timestamp") else F.unix_micros(F.col(first).cast("timestamp"))
+    numbered = chunked(df.withColumns({"_at": at, "_n": F.lit(1).cast("long"), "_group": F.coalesce(F.col(group).cast("string"), F.lit("\u0001"))}), "_group", ["_at", *order]).running_sum("_n").df
+    sizes = numbered.groupBy("_group").agg(F.count("*").alias("_of"))
+    share = (F.col("_n") - 1) / F.col("_of")
+    return numbered.join(sizes, "_group").withColumn("split", F.when(share < shares[0], "TRAIN").when(share < sum(shares), "VALIDATION").otherwise("TEST")).select(*df.columns, "split")
 
 
 def checksum(df: DataFrame) -> tuple[int, str]:
