@@ -42,8 +42,8 @@ def ancestry(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     levels = [frontier]
     while True:
         up = frontier.select(F.col("chain").alias("up_chain"), F.col("head_size").alias("top_size"), F.col("start").alias("top"), "above")
-        frontier = scratch.cut(steps.join(up, "up_chain").select("chain", "head_size", (F.col("top") + F.col("top_size") + F.col("step")).alias("start"), F.concat("above", F.array(F.struct(F.col("up_chain").alias("chain"), F.col("up_seq").alias("seq")))).alias("above")))
-        if frontier.isEmpty():
+        frontier = scratch.cut(steps.join(up, "up_chain").select("chain", "head_size", (F.col("top") + F.col("top_size") + F.col("step")).alias("start"), F.concat("above", F.array(F.struct(F.col("up_chain").alias("chain"), F.col("up_seq").alias("seq")))).alias("above")), rows=F.count(F.lit(1)))
+        if not scratch.seen["rows"]:
             break
         levels.append(frontier)
     reached = levels[0]

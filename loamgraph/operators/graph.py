@@ -30,8 +30,8 @@ def impact(edges: DataFrame, seeds: DataFrame, scratch: Scratch, direction: str
     for hop in range(1, depth + 1):
         into = scratch.cut(frontier.select(F.col("id").alias("a")).join(walk, "a").select(F.col("b").alias("id"), "predicate").distinct())
         scanned = into if scanned is None else scanned.unionByName(into)
-        fresh = scratch.cut(into.select("id").distinct().join(visited, "id", "left_anti").withColumn("hop", F.lit(hop)))
-        if fresh.isEmpty():
+        fresh = scratch.cut(into.select("id").distinct().join(visited, "id", "left_anti").withColumn("hop", F.lit(hop)), rows=F.count(F.lit(1)))
+        if not scratch.seen["rows"]:
             break
         visited, frontier = visited.unionByName(fresh), fresh
     if reach_seeds:

@@ -42,10 +42,10 @@ def forest(nodes: DataFrame, scratch: Scratch, sizes: bool = False) -> DataFrame
         F.when(F.col("parent").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("long").alias("dist"),
         F.lit(1).cast("long").alias("size"),
     )
-    state = scratch.cut(start)
-    pieces: list[DataFrame] = []  # finished nodes by round, when sizes aren't asked for
     still = F.count(F.when(F.col("ptr").isNotNull(), 1))
-    before = state.agg(still).first()[0]
+    state = scratch.cut(start, left=still)
+    pieces: list[DataFrame] = []  # finished nodes by round, when sizes aren't asked for
+    before = scratch.seen["left"]
     while True:
         held = state
         if sizes:
@@ -57,8 +57,8 @@ def forest(nodes: DataFrame, scratch: Scratch, sizes: bool = False) -> DataFrame
                 to = to.unionByName(p.select(F.col("id").alias("ptr"), F.lit(None).cast("string").alias("up"), F.col("root_id").alias("up_root"), F.col("dist").alias("up_dist")))
         stepped = opened.join(to, "ptr").select("id", F.col("up").alias("ptr"), F.col("up_root").alias("root_id"), (F.col("dist") + F.col("up_dist")).alias("dist"), "size")
         done = state.filter("ptr is null")
-        nxt = scratch.cut(stepped if not sizes else stepped.unionByName(done))
-        left = nxt.agg(still).first()[0]
+        nxt = scratch.cut(stepped if not sizes else stepped.unionByName(done), left=still)
+        left = scratch.seen["left"]
         finished, before = before - left, left
         if sizes:
             scratch.drop(held)
@@ -90,12 +90,12 @@ def levels(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     of the depth.  What the frontier never reaches lies on or below a cycle.
     """
     links = scratch.cut(nodes.select("id", "parent"))
-    frontier = scratch.cut(links.filter("parent is null").select("id", F.col("id").alias("root_id"), F.lit(0).cast("long").alias("node_depth")))
+    frontier = scratch.cut(links.filter("parent is null").select("id", F.col("id").alias("root_id"), F.lit(0).cast("long").alias("node_depth")), rows=F.count(F.lit(1)))
     reached = frontier
     children = links.filter("parent is not null")
-    while not frontier.isEmpty():
+    while scratch.seen["rows"]:
         up = frontier.select(F.col("id").alias("parent"), "root_id", (F.col("node_depth") + 1).alias("node_depth"))
-        frontier = scratch.cut(children.join(up, "parent").select("id", "root_id", "node_depth"))
+        frontier = scratch.cut(children.join(up, "parent").select("id", "root_id", "node_depth"), rows=F.count(F.lit(1)))
         reached = reached.unionByName(frontier)
     lost = scratch.cut(children.join(reached.select("id"), "id", "left_anti"))
     out = reached.withColumn("on_cycle", F.lit(0).cast("long"))
@@ -140,14 +140,14 @@ def closure(nodes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     As in ``forest`` each round doubles the reach and ends by the same rule.
     """
     up = F.col("parent").isNull()
-    state = scratch.cut(nodes.select("id", F.col("parent").alias("ptr"), F.when(up, F.col("id")).alias("root_id"), F.col("label").alias("full_path"), F.when(up, F.array().cast("array<string>")).otherwise(F.array("parent")).alias("above")))
     still = F.count(F.when(F.col("ptr").isNotNull(), 1))
-    left, reached = state.agg(still).first()[0], state.filter("ptr is null")
+    state = scratch.cut(nodes.select("id", F.col("parent").alias("ptr"), F.when(up, F.col("id")).alias("root_id"), F.col("label").alias("full_path"), F.when(up, F.array().cast("array<string>")).otherwise(F.array("parent")).alias("above")), left=still)
+    left, reached = scratch.seen["left"], state.filter("ptr is null")
     while left:
         whole = state.filter("ptr is not null").unionByName(reached)
         to = whole.select(F.col("id").alias("ptr"), F.col("ptr").alias("next"), F.col("root_id").alias("up_root"), F.col("full_path").alias("up_path"), F.col("above").alias("up_above"))
-        state = scratch.cut(state.filter("ptr is not null").join(to, "ptr").select("id", F.col("next").alias("ptr"), F.col("up_root").alias("root_id"), F.concat_ws("/", "up_path", "full_path").alias("full_path"), F.concat("above", "up_above").alias("above")))
-        before, left = left, state.agg(still).first()[0]
+        state = scratch.cut(state.filter("ptr is not null").join(to, "ptr").select("id", F.col("next").alias("ptr"), F.col("up_root").alias("root_id"), F.concat_ws("/", "up_path", "full_path").alias("full_path"), F.concat("above", "up_above").alias("above")), left=still)
+        before, left = left, scratch.seen["left"]
         reached = reached.unionByName(state.filter("ptr is null"))
         if left == before:
             break

@@ -63,8 +63,8 @@ def chains(nodes: DataFrame, scratch: Scratch, whole: DataFrame | None = None) -
 
 def _smallest_on_cycle(cyclic: DataFrame, scratch: Scratch) -> DataFrame:
     """The smallest id of each cycle, by doubling jumps around it."""
-    s = scratch.cut(cyclic.select("id", F.col("parent").alias("ptr"), F.least("id", "parent").alias("low")))
-    n, reach = s.count(), 1
+    s = scratch.cut(cyclic.select("id", F.col("parent").alias("ptr"), F.least("id", "parent").alias("low")), rows=F.count(F.lit(1)))
+    n, reach = scratch.seen["rows"], 1
     while reach < n:
         s = scratch.cut(s.join(s.select(F.col("id").alias("ptr"), F.col("ptr").alias("up"), F.col("low").alias("up_low")), "ptr").select("id", F.col("up").alias("ptr"), F.least("low", "up_low").alias("low")))
         reach *= 2
@@ -99,8 +99,8 @@ def _reach(heads: DataFrame, ups: DataFrame, scratch: Scratch) -> DataFrame:
     while True:
         more = news.join(ups, "chain").groupBy("run_id", "at", F.col("up_chain").alias("chain")).agg(F.max("up_seq").alias("seq"))
         known = reach.select("run_id", "chain", F.col("seq").alias("had"))
-        news = scratch.cut(more.join(known, ["run_id", "chain"], "left").filter("had is null or seq > had").select("run_id", "at", "chain", "seq"))
-        if news.isEmpty():
+        news = scratch.cut(more.join(known, ["run_id", "chain"], "left").filter("had is null or seq > had").select("run_id", "at", "chain", "seq"), rows=F.count(F.lit(1)))
+        if not scratch.seen["rows"]:
             return reach
         reach = scratch.cut(reach.unionByName(news).groupBy("run_id", "at", "chain").agg(F.max("seq").alias("seq")))
 

@@ -10,7 +10,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 _shipped: set[str] = set()
@@ -70,13 +70,24 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
+        self.seen: dict[str, int] = {}
         self.n = 0
         atexit.register(self.close)
 
-    def cut(self, df: DataFrame) -> DataFrame:
+    def cut(self, df: DataFrame, **counted: Column) -> DataFrame:
+        """The written frame.  ``counted``: aggregates taken while it is written, found in ``seen``.
+
+        They are collected in the tasks that write, each of which counts once,
+        so they cost no job of their own.
+        """
         self.n += 1
         path = f"{self.base}/{self.n}"
-        df.write.parquet(path)
+        if counted:
+            told = Observation()
+            df.observe(told, *[c.alias(n) for n, c in counted.items()]).write.parquet(path)
+            self.seen = {n: told.get.get(n) or 0 for n in counted}
+        else:
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         self._last = out
