@@ -23,6 +23,17 @@ from pyspark.sql import functions as F
 from loamgraph.sources.tables import Scratch
 
 
+def numbered_links(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, n, p): the nodes with a number each, and their parents' numbers.
+
+    Rounds join numbers of eight bytes instead of ids of any length, which is
+    most of what they would shuffle and sort.  The numbers are written once, so
+    they stay the same however often a task runs again.
+    """
+    base = scratch.cut(nodes.select("id", "parent").withColumn("n", F.monotonically_increasing_id()))
+    return scratch.cut(base.join(base.select(F.col("id").alias("parent"), F.col("n").alias("p")), "parent", "left").select("id", "n", "p"))
+
+
 def forest(nodes: DataFrame, scratch: Scratch, sizes: bool = False) -> DataFrame:
     """Root, depth and cycle flag of each node.
 
@@ -31,16 +42,27 @@ def forest(nodes: DataFrame, scratch: Scratch, sizes: bool = False) -> DataFrame
     on_cycle long.  Nodes on or below a cycle have root_id '' and
     node_depth -1.  With ``sizes``, also size: nodes in the subtree, itself
     included (not defined on cycles).  An empty input gives an empty result.
+    """
+    links = numbered_links(nodes, scratch)
+    found = scratch.cut(jumps(links.select(F.col("n").alias("id"), F.col("p").alias("parent")), scratch, sizes)).withColumnsRenamed({"id": "n", "root_id": "root"})
+    roots = links.filter("p is null").select(F.col("n").alias("root"), F.col("id").alias("root_id"))
+    named = links.select("id", "n").join(found, "n").join(roots, "root", "left")
+    return named.select("id", F.coalesce("root_id", F.lit("")).alias("root_id"), "node_depth", *(["size"] if sizes else []), "on_cycle")
+
+
+def jumps(nodes: DataFrame, scratch: Scratch, sizes: bool = False) -> DataFrame:
+    """``forest`` on ids of any type; root_id is null where there is none.
 
     A round in which no node finishes means that no depth in its range is
     taken; depths have no gaps, so all nodes still open reach a cycle.
     """
+    id_type = nodes.schema["id"].dataType
     start = nodes.select(
         "id",
         F.col("parent").alias("ptr"),
         F.when(F.col("parent").isNull(), F.col("id")).alias("root_id"),
         F.when(F.col("parent").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("long").alias("dist"),
-        F.lit(1).cast("long").alias("size"),
+        *([F.lit(1).cast("long").alias("size")] if sizes else []),
     )
     still = F.count(F.when(F.col("ptr").isNotNull(), 1))
     state = scratch.cut(start, left=still)
@@ -54,8 +76,8 @@ def forest(nodes: DataFrame, scratch: Scratch, sizes: bool = False) -> DataFrame
         to = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("up"), F.col("root_id").alias("up_root"), F.col("dist").alias("up_dist"))
         if pieces:
             for p in pieces:
-                to = to.unionByName(p.select(F.col("id").alias("ptr"), F.lit(None).cast("string").alias("up"), F.col("root_id").alias("up_root"), F.col("dist").alias("up_dist")))
-        stepped = opened.join(to, "ptr").select("id", F.col("up").alias("ptr"), F.col("up_root").alias("root_id"), (F.col("dist") + F.col("up_dist")).alias("dist"), "size")
+                to = to.unionByName(p.select(F.col("id").alias("ptr"), F.lit(None).cast(id_type).alias("up"), F.col("root_id").alias("up_root"), F.col("dist").alias("up_dist")))
+        stepped = opened.join(to, "ptr").select("id", F.col("up").alias("ptr"), F.col("up_root").alias("root_id"), (F.col("dist") + F.col("up_dist")).alias("dist"), *(["size"] if sizes else []))
         done = state.filter("ptr is null")
         nxt = scratch.cut(stepped if not sizes else stepped.unionByName(done), left=still)
         left = scratch.seen["left"]
@@ -73,7 +95,7 @@ def forest(nodes: DataFrame, scratch: Scratch, sizes: bool = False) -> DataFrame
     cyclic = _cycle_nodes(whole.filter("ptr is not null").select("id", "ptr"), scratch) if left else None
     out = whole.select(
         "id",
-        F.when(F.col("ptr").isNull(), F.col("root_id")).otherwise("").alias("root_id"),
+        F.when(F.col("ptr").isNull(), F.col("root_id")).alias("root_id"),
         F.when(F.col("ptr").isNull(), F.col("dist")).otherwise(F.lit(-1)).cast("long").alias("node_depth"),
         *([F.col("size")] if sizes else []),
     )

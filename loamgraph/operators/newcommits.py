@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from loamgraph.functions.normal import sha_ref, strip_ws
 from loamgraph.operators.gitgraph import commit_nodes, resolve_refs
-from loamgraph.operators.hierarchy import forest
+from loamgraph.operators.hierarchy import jumps, numbered_links
 from loamgraph.operators.intervals import Ledger, State, merge, numbers, subtract, within
 from loamgraph.operators.segments import chunked
 from loamgraph.sources.tables import Scratch
@@ -40,34 +40,49 @@ def chains(nodes: DataFrame, scratch: Scratch, whole: DataFrame | None = None) -
     """Sequence numbers along chains.
 
     Each node continues the chain of its parent if it is the child with the
-    largest subtree there (then the greatest id), so that any path to a root
+    largest subtree there (any of several), so that any path to a root
     meets at most log2(n) chains; other children start chains.  A cycle is cut
     before its smallest node.  Results: (id, chain, seq) and, by chain,
-    (chain, up_chain, up_seq): where the chain's first node hangs.  ``whole``:
-    id, parent and what ``forest`` with sizes gives, if that is at hand.
+    (chain, up_chain, up_seq): where the chain's first node hangs; a chain is
+    named by its first node.  ``whole``: what ``forest`` with sizes gives, if
+    that is at hand.
     """
+    links = numbered_links(nodes, scratch)
+    plain = links.select(F.col("n").alias("id"), F.col("p").alias("parent"))
     if whole is None:
-        whole = scratch.cut(nodes.select("id", "parent").join(forest(nodes.select("id", "parent"), scratch, sizes=True), "id"))
+        whole = scratch.cut(plain.join(jumps(plain, scratch, sizes=True), "id"))
+    else:
+        whole = scratch.cut(links.join(whole.select("id", "size", "on_cycle"), "id").select(F.col("n").alias("id"), F.col("p").alias("parent"), "size", "on_cycle"))
     cyclic = whole.filter("on_cycle = 1").select("id", "parent")
     cuts = _smallest_on_cycle(cyclic, scratch)
-    links = whole.join(cuts.withColumn("cut", F.lit(True)), "id", "left")
-    heavy = links.filter("parent is not null and cut is null").groupBy("parent").agg(F.max(F.struct("on_cycle", "size", "id")).alias("m")).select("parent", F.col("m.id").alias("heavy"))
-    linked = links.select("id", "parent", "cut").join(heavy, "parent", "left")
+    linked = whole.join(cuts.withColumn("cut", F.lit(True)), "id", "left")
+    heavy = linked.filter("parent is not null and cut is null").groupBy("parent").agg(F.max(F.struct("on_cycle", "size", "id")).alias("m")).select("parent", F.col("m.id").alias("heavy"))
+    linked = linked.select("id", "parent", "cut").join(heavy, "parent", "left")
     goes_on = (F.col("heavy") == F.col("id")) & F.col("cut").isNull()
     linked = scratch.cut(linked.select("id", "parent", F.when(goes_on, F.col("parent")).alias("before")))
-    numbered = scratch.cut(forest(linked.select("id", F.col("before").alias("parent")), scratch).select("id", F.col("root_id").alias("chain"), F.col("node_depth").alias("seq")))
+    numbered = scratch.cut(jumps(linked.select("id", F.col("before").alias("parent")), scratch).select("id", F.col("root_id").alias("chain"), F.col("node_depth").alias("seq")))
     hang = linked.filter("before is null and parent is not null").select(F.col("id").alias("chain"), "parent")
     ups = hang.join(numbered.select(F.col("id").alias("parent"), F.col("chain").alias("up_chain"), F.col("seq").alias("up_seq")), "parent").drop("parent")
-    return numbered, scratch.cut(ups)
+    # a chain is named by its first node, of which there are far fewer than nodes
+    heads = linked.filter("before is null").select(F.col("id").alias("n")).join(links.select("n", "id"), "n")
+    named = lambda df, c: df.withColumnRenamed(c, "n").join(heads.withColumnRenamed("id", c), "n").drop("n")
+    of = named(numbered.withColumnRenamed("id", "k"), "chain").join(links.select(F.col("n").alias("k"), "id"), "k").select("id", "chain", "seq")
+    return scratch.cut(of), scratch.cut(named(named(ups, "chain"), "up_chain").select("chain", "up_chain", "up_seq"))
 
 
 def _smallest_on_cycle(cyclic: DataFrame, scratch: Scratch) -> DataFrame:
-    """The smallest id of each cycle, by doubling jumps around it."""
+    """The smallest id of each cycle, by doubling jumps around it.
+
+    When a round lowers none, each stretch's least is at most that of the
+    stretch behind it, all around, so all are the cycle's least.
+    """
     s = scratch.cut(cyclic.select("id", F.col("parent").alias("ptr"), F.least("id", "parent").alias("low")), rows=F.count(F.lit(1)))
-    n, reach = scratch.seen["rows"], 1
-    while reach < n:
-        s = scratch.cut(s.join(s.select(F.col("id").alias("ptr"), F.col("ptr").alias("up"), F.col("low").alias("up_low")), "ptr").select("id", F.col("up").alias("ptr"), F.least("low", "up_low").alias("low")))
-        reach *= 2
+    lowered = scratch.seen["rows"]
+    while lowered:
+        ahead = s.select(F.col("id").alias("ptr"), F.col("ptr").alias("up"), F.col("low").alias("up_low"))
+        stepped = s.join(ahead, "ptr").select("id", F.col("up").alias("ptr"), F.least("low", "up_low").alias("low"), (F.col("up_low") < F.col("low")).alias("less"))
+        s = scratch.cut(stepped, lowered=F.count(F.when(F.col("less"), 1))).drop("less")
+        lowered = scratch.seen["lowered"]
     return s.filter("id = low").select("id")
 
 
