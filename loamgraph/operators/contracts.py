@@ -70,3 +70,37 @@ def dispatched(calls: DataFrame, implementations: DataFrame) -> DataFrame:
     # counted by interface before the join, so no call's implementations are gathered in one place
     n = implementations.groupBy("interface").agg(F.count("*").alias("n"))
     return calls.join(implementations, "interface").join(n, "interface").select("call_key", "impl_key", F.when(F.col("n") == 1, F.lit(0.9)).otherwise(F.round(1 / F.col("n"), 5)).cast("decimal(6,5)").alias("confidence"))
+
+
+#: What the names of one type may end in on either side.
+TYPE_ENDINGS = r"(?:Dto|DTO|Request|Response|Entity|Model|Vo|VO)$"
+
+
+def field_lineage(front: DataFrame, back: DataFrame) -> DataFrame:
+    """(type, field, front_type, back_type, front_files, back_files): fields that types of one name share on both sides.
+
+    ``front``, ``back``: file_id, owner, name, signature.  Names are compared
+    without what marks a transfer type.  Each side is counted by type and field
+    before the join, so a field that stands in many files is one row.
+    """
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        kind = F.regexp_replace(F.regexp_extract("owner", r"[^.]*$", 0), TYPE_ENDINGS, "")
+        return df.filter("owner is not null and name is not null").select(kind.alias("type"), F.col("name").alias("field"), "file_id", F.regexp_replace(F.coalesce("signature", F.lit("")), r"^:?\s*", "").alias("t")).filter("type != ''").groupBy("type", "field").agg(F.min("t").alias(f"{name}_type"), F.countDistinct("file_id").alias(f"{name}_files"))
+
+    return side(front, "front").join(side(back, "back"), ["type", "field"]).select("type", "field", "front_type", "back_type", "front_files", "back_files")
+
+
+def referenced(references: DataFrame, providers: DataFrame) -> DataFrame:
+    """(project_key, name, provider_project, provider, confidence): contracts that other projects provide.
+
+    ``references``: project_key, name; ``providers``: project_key, name, key.
+    The least other project, then its least key, provides a name; .85.
+    """
+    # the two least projects of a name are enough to find one that is not one's own
+    one = providers.filter("name is not null and project_key is not null").groupBy("name", "project_key").agg(F.min("key").alias("key"))
+    rank = F.row_number().over(Window.partitionBy("name").orderBy("project_key"))
+    least = one.withColumn("r", rank).filter("r <= 2").select("name", F.col("project_key").alias("provider_project"), F.col("key").alias("provider"))
+    hit = references.select("project_key", "name").distinct().join(least, "name").filter("provider_project != project_key")
+    best = hit.groupBy("project_key", "name").agg(F.min(F.struct("provider_project", "provider")).alias("m"))
+    return best.select("project_key", "name", "m.provider_project", "m.provider", F.lit(0.85).alias("confidence"))

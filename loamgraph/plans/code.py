@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgraph.functions.normal import fwd
-from loamgraph.operators import graphstate, relations, resolve, state
+from loamgraph.operators import contracts, graphstate, relations, resolve, state
 from loamgraph.sources import code, parse
 from loamgraph.sources.tables import Scratch, table
 
@@ -89,6 +89,26 @@ def m8_resolved_imports(spark: SparkSession, d: str) -> DataFrame:
     return found.filter("tier = 'PATH'").select("file_id", "target", "object")
 
 
+def m8_field_lineage(spark: SparkSession, d: str) -> DataFrame:
+    """Fields that an interface of client code and a class of served code of one name share."""
+    rows = Scratch(spark, "fields").cut(_rows(spark, d))
+    kind = rows.filter("row = 'status'").select("file_id", F.col("kind").alias("language"))
+    front = rows.filter("row = 'field'").select("file_id", "owner", "name", "signature")
+    back = rows.filter("row = 'symbol' and kind = 'FIELD'").join(kind.filter("language = 'java'").select("file_id").distinct(), "file_id", "left_semi").select("file_id", "owner", "name", "signature")
+    return contracts.field_lineage(front, back)
+
+
+def m8_contract_references(spark: SparkSession, d: str) -> DataFrame:
+    """Names that a project imports from outside and another project exports as a type."""
+    files = table(spark, d, "source_files")
+    rows = Scratch(spark, "references").cut(code.extracted(files))
+    of = files.filter("file_id is not null and project_key is not null").groupBy("file_id").agg(F.min("project_key").alias("project_key"), F.min("entity_key").alias("key"))
+    wanted = rows.filter("row = 'import' and detail != ''").select("file_id", F.explode(F.split("detail", ",")).alias("name")).join(of, "file_id").select("project_key", "name")
+    own = rows.filter("row = 'symbol' and owner = ''").join(of, "file_id").select("project_key", "name").distinct()
+    offered = rows.filter("row = 'symbol' and exported and owner = '' and kind in ('INTERFACE', 'CLASS', 'TYPE', 'ENUM')").join(of, "file_id").select("project_key", "name", "key")
+    return contracts.referenced(wanted.distinct().join(own, ["project_key", "name"], "left_anti"), offered)
+
+
 def _relation_side(files: DataFrame, pick) -> DataFrame:
     """Imports by path of the first or last delivery of each path of a source."""
     one = files.filter("file_path is not null and content is not null").groupBy("source_id", "file_path").agg(pick("file_id").alias("file_id"))
@@ -176,7 +196,7 @@ def m11_rollback(spark: SparkSession, d: str) -> DataFrame:
     return store.entities().select("key", "value")
 
 
-QUERIES = {f.__name__: f for f in (m13_symbols_full, m13_calls, m13_extends, m13_module_imports, m13_endpoints, m13_component_facts, m13_extraction_status, m8_resolved_edges, m8_resolved_imports, m11_relation_sync, m11_entity_delta, m11_edge_diff, m11_publish, m11_rebuild, m11_rollback)}
+QUERIES = {f.__name__: f for f in (m13_symbols_full, m13_calls, m13_extends, m13_module_imports, m13_endpoints, m13_component_facts, m13_extraction_status, m8_resolved_edges, m8_resolved_imports, m8_field_lineage, m8_contract_references, m11_relation_sync, m11_entity_delta, m11_edge_diff, m11_publish, m11_rebuild, m11_rollback)}
 
 _IMPORTS = r"""imp as (select file_id, target, count(*) as occurrences from (select file_id, unnest(list_concat(regexp_extract_all(content, '(?m)^\s*import\s+(?:[^''";]*?from\s+)?[''"]([^''"]+)[''"]', 1), regexp_extract_all(content, '(?m)^\s*import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;', 1))) as target from source_files) group by all)"""
 _CLEAN = r"regexp_replace(regexp_replace(regexp_replace(replace(file_path, '\', '/'), '/{2,}', '/', 'g'), '^(\./)+', ''), '/$', '')"

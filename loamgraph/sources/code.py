@@ -299,6 +299,7 @@ class Script(Reader):
             own = self.symbol("INTERFACE", name, scope, start, end, modifiers=modifiers, exported=exported, detail=how)
             if t.is_word(k, "extends"):
                 self.heritage("EXTENDS", own, k + 1, body)
+            self.fields(body, own)
             self.declared.update(range(body, min(end, t.end)))
             return end + 1
         if t.is_word(i, "type") and t.is_word(i + 1) and (t.is_p(i + 2, "=") or t.is_p(i + 2, "<")):
@@ -375,6 +376,33 @@ class Script(Reader):
             self.emit("import", kind="TYPE" if only_types else "VALUE", target=target, detail=",".join(names), line=t.line(i))
         return k + 1
 
+    def fields(self, body: int, own: str) -> None:
+        """field rows: the typed members of an interface, methods left out."""
+        t, i, end = self.t, body + 1, min(self.t.close(body), self.t.end)
+        while i < end:
+            i += t.is_word(i, "readonly") and i + 1 < end and t.kind[i + 1] in ("word", "str")
+            if t.kind[i] in ("word", "str") and (t.is_p(i + 1, ":") or t.is_p(i + 1, "?") and t.is_p(i + 2, ":")):
+                stop = next((k for k in self.stops(i + 1, end)), end)
+                self.emit("field", name=t.value[i].strip("'\""), owner=own, signature=t.source(i + 2 + t.is_p(i + 1, "?"), stop), line=t.line(i))
+            else:
+                stop = next((k for k in self.stops(i, end)), end)
+            i = stop + (stop < end and t.kind[stop] == "p" and t.value[stop] in (";", ","))
+
+    def stops(self, a: int, b: int) -> Iterator[int]:
+        """Where a member's type may end: a semicolon, a comma, or a new line that begins another member."""
+        t, k = self.t, a
+        while k < b:
+            if t.kind[k] == "p":
+                if t.value[k] in _OPEN:
+                    k = t.close(k)
+                elif t.value[k] == "<":
+                    k = max(k, t.angle(k) - 1)
+                elif t.value[k] in (";", ","):
+                    yield k
+            if k + 1 < b and t.line(k + 1) > t.line(k) and t.kind[k + 1] in ("word", "str") and (t.is_p(k + 2, ":") or t.is_p(k + 2, "?") or t.is_p(k + 2, "(")):
+                yield k + 1
+            k += 1
+
     def reexport(self, i: int, b: int) -> int:
         t = self.t
         k = t.close(i) + 1 if t.is_p(i, "{") else i + 1

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from conftest import rows
 
-from loamgraph.operators import graphstate, relations, resolve
+from loamgraph.operators import contracts, graphstate, relations, resolve
 from loamgraph.plans import code as plans
 from loamgraph.sources import code
 from loamgraph.sources.tables import Scratch, table
@@ -73,6 +73,21 @@ def test_typescript():
     assert {(r["kind"], r["target"]) for r in found(TS, "tsx", "client")} == {("ANY", "/api/list"), ("GET", "/users/{id}/x"), ("POST", "/users/{id}/z"), ("PUT", "/a/b")}
 
 
+def test_interface_fields():
+    text = "interface A { a: string; readonly b?: Map<string, {x: number, y: Q}>, f(x: T): void; [k: string]: any; 'c-d': 1 | 2 }\ninterface B {\n  p: number\n  q?: A[]\n  g(): void\n  r: { s: string; t: number }\n}"
+    assert [(r["owner"], r["name"], r["signature"]) for r in found(text, "typescript", "field")] == [("A", "a", "string"), ("A", "b", "Map<string, {x: number, y: Q}>"), ("A", "c-d", "1 | 2"), ("B", "p", "number"), ("B", "q", "A[]"), ("B", "r", "{ s: string; t: number }")]
+
+
+def test_lineage_and_references(spark):
+    fields = "file_id long, owner string, name string, signature string"
+    front = spark.createDataFrame([(1, "User", "name", "string"), (2, "UserDto", "name", "string"), (1, "User", "age", "number"), (3, None, "x", "")], fields)
+    back = spark.createDataFrame([(7, "a.UserEntity", "name", "String"), (8, "Other", "age", "int")], fields)
+    assert rows(contracts.field_lineage(front, back)) == {("User", "name", "string", "String", 2, 1)}
+    refs = spark.createDataFrame([("P", "T"), ("P", "T"), ("Q", "T"), ("P", "None")], "project_key string, name string")
+    offers = spark.createDataFrame([("P", "T", "k1"), ("Q", "T", "k3"), ("Q", "T", "k2"), ("R", "T", "k4"), (None, "T", "k0")], "project_key string, name string, key string")
+    assert rows(contracts.referenced(refs, offers)) == {("P", "T", "Q", "k2", 0.85), ("Q", "T", "P", "k1", 0.85)}
+
+
 def test_java():
     s = {(r["kind"], r["qualified"]): r for r in found(JAVA, "java", "symbol")}
     assert set(s) == {("CLASS", "Foo"), ("FIELD", "Foo.a"), ("FIELD", "Foo.b"), ("METHOD", "Foo.<init>"), ("METHOD", "Foo.get"), ("METHOD", "Foo.post"), ("CLASS", "Foo.Pt"), ("METHOD", "Foo.Pt.<init>"), ("ENUM", "Foo.E"), ("METHOD", "Foo.E.x"), ("METHOD", "Foo.E.<init>"), ("INTERFACE", "Foo.In"), ("FIELD", "Foo.In.K"), ("METHOD", "Foo.In.d"), ("ANNOTATION", "Foo.Note"), ("METHOD", "Foo.Note.value")}
