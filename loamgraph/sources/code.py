@@ -13,6 +13,7 @@ where its brackets still match.  Whether a text is valid is another question.
 from __future__ import annotations
 
 import re
+import sys
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -31,6 +32,9 @@ TS_MODIFIERS = frozenset("public private protected static readonly abstract asyn
 KEYWORDS = frozenset("if for while switch catch return typeof new function class do else in of instanceof await yield throw delete void case import export super this try finally with synchronized assert".split())
 ROUTE_PREFIXES = ("/api/", "/crm/")
 
+#: Frames up to which nested bodies are followed (some four a level); a deeper file has the status FAILED.
+DEEPEST = 100_000
+
 FIELDS = [("row", "string"), ("kind", "string"), ("name", "string"), ("qualified", "string"), ("owner", "string"), ("target", "string"), ("signature", "string"), ("modifiers", "string"), ("detail", "string"), ("arguments", "int"), ("line", "int"), ("end_line", "int"), ("exported", "boolean")]
 SCHEMA = "file_id long, " + ", ".join(f"{n} {t}" for n, t in FIELDS)
 
@@ -705,7 +709,7 @@ class Script(Reader):
                     if route and (route.startswith(("/", "http", "{id}"))):
                         self.emit("client", kind=t.value[i].upper(), target=route, detail=t.value[i - 2] if i > 1 and t.kind[i - 2] == "word" else "", line=t.line(i))
             elif t.is_word(i, "url") and t.is_p(i + 1, ":") and self.literal(i + 2) is not None:
-                here = next(((a, b) for a, b in ((o, c) for o, c in t.partner.items() if o < i < c and t.value[o] == "{") if i - a < 60), None)
+                here = self.around(i)
                 route = self.path(i + 2, min(t.end, i + 40) if here is None else here[1])
                 verb = None
                 if here:
@@ -713,6 +717,18 @@ class Script(Reader):
                 if route and route.startswith(("/", "http")):
                     self.emit("client", kind=(verb or "GET").upper(), target=route, detail="options", line=t.line(i))
 
+    def around(self, i: int, reach: int = 60) -> tuple[int, int] | None:
+        """The braces around i, if they open near it."""
+        t, depth = self.t, 0
+        for k in range(i - 1, max(-1, i - reach), -1):
+            if t.kind[k] == "p" and t.value[k] in _CLOSE:
+                depth += 1
+            elif t.kind[k] == "p" and t.value[k] in _OPEN:
+                if not depth:
+                    return (k, t.close(k)) if t.value[k] == "{" else None
+                depth -= 1
+        return None
+
     def routes(self, a: int, b: int, own: str) -> None:
         """client rows of kind ANY for constants that are routes."""
         for k in range(a, b):
@@ -1029,6 +1045,7 @@ _ARROW_SCHEMA = pa.schema([("file_id", pa.int64()), *[(n, _ARROW[t]) for n, t in
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), DEEPEST))
     for b in batches:
         found = [(i, r) for i, lang, path, text in zip(*(b.column(c).to_pylist() for c in ("file_id", "language", "file_path", "content"))) for r in read(text, lang, path)]
         columns = [pa.array([i for i, _ in found], pa.int64()), *[pa.array([r.get(n) for _, r in found], _ARROW[t]) for n, t in FIELDS]]
